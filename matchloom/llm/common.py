@@ -39,6 +39,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, name: str, parts: int, by: str, kind: str) -> DataFrame:
+    """As materialize(), as a table of `parts` buckets by one column in a folder for each value of
+    another: a later grouping by that column needs no shuffle of these rows."""
+    spark = df.sparkSession
+    key = f"matchloom_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{key}"
+    df.write.format("parquet").partitionBy(kind).bucketBy(parts, by).option("path", path).saveAsTable(key)
+    _written.append((spark, path))
+    return spark.table(key)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files that no live DataFrame needs any more."""
     gc.collect()

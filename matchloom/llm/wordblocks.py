@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, release, shuffle_parts
+from .common import materialize_by, shuffle_parts
 
 #: Bytes of text after which a block is closed, and after which its documents are packed.
 BLOCK_BYTES, PACK_BYTES = 48 << 20, 4 << 20
@@ -106,7 +106,7 @@ class _Block:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["block", "bucket", "payload"])
+    return pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([int(r[1] != DOCS) for r in rows], pa.int32())], ["block", "bucket", "payload", "kind"])
 
 
 def _split(words: Words, buckets: int, counted: bool):
@@ -152,7 +152,8 @@ def _value(values: Values):
         lens, flat = values(list(index), total[: len(index)])
         offsets = np.cumsum(lens) - lens
         for (block, data), at in zip(rows, places):
-            yield _batch([(block, 0, pack((unpack(data)[0], lens[at].astype(np.uint32), flat[ragged(offsets, lens, at)])))])
+            value = pack((unpack(data)[0], lens[at].astype(np.uint32), flat[ragged(offsets, lens, at)]))
+            yield pa.record_batch([pa.array([block], pa.string()), pa.array([value], pa.binary())], ["block", "payload"])
 
     return run
 
@@ -160,11 +161,8 @@ def _value(values: Values):
 def _assemble(finish, names: list[str], types: list[pa.DataType]):
     schema = pa.schema(list(zip(names, types)))
 
-    def run(table: pa.Table) -> pa.Table:
-        docs, got = [], []
-        for bucket, data in zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist()):
-            (docs if bucket == DOCS else got).append(data)
-        parts = [(np.cumsum(unplanes(p[0]), dtype=np.int64), p[1].astype(np.int64), p[2]) for p in map(unpack, got)]
+    def run(docs: pa.Table, values: pa.Table) -> pa.Table:
+        parts = [(np.cumsum(unplanes(p[0]), dtype=np.int64), p[1].astype(np.int64), p[2]) for p in map(unpack, values.column("payload").to_pylist())]
         n = sum(len(p[0]) for p in parts)
         lens, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
         start = 0
@@ -174,7 +172,7 @@ def _assemble(finish, names: list[str], types: list[pa.DataType]):
             start += len(flat)
         flat = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.int64)
         out = []
-        for data in docs:
+        for data in docs.column("payload").to_pylist():
             ids, marks, sizes, counts, seq = unpack(data)
             out.append(pa.table(dict(zip(names, finish(ids, marks, sizes, counts, unplanes(seq).astype(np.int64), offsets, lens, flat)))).cast(schema))
         return pa.concat_tables(out) if out else schema.empty_table()
@@ -182,25 +180,23 @@ def _assemble(finish, names: list[str], types: list[pa.DataType]):
     return run
 
 
-def exchange(docs: DataFrame, words: Words, values: Values, name: str, counted: bool = False) -> DataFrame:
-    """(block, bucket, payload) rows of docs (id, text, mark): the packed documents and each
-    block's word values. words: the pieces of a UTF-8 text. values(words, counts): how many
-    numbers each word has, and these numbers in one array. counted: counts holds, over the whole
-    corpus, how often a word occurs in documents whose mark is 1."""
-    spark = docs.sparkSession
-    buckets = shuffle_parts(spark)
-    rows = materialize(docs.select(F.col("id").cast("long"), F.col("text").cast("binary"), F.col("mark").cast("byte")).mapInArrow(_split(words, buckets, counted), "block string, bucket int, payload binary"), name)
-    spread = rows.where(F.col("bucket") != DOCS).repartition(buckets, "bucket").select("block", "payload")
-    back = materialize(spread.mapInArrow(_value(values), "block string, bucket int, payload binary"), f"{name}-values")
-    release(spark)
-    return rows.where(F.col("bucket") == DOCS).unionByName(back)
+def exchange(docs: DataFrame, words: Words, values: Values, name: str, counted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The packed documents of docs (id, text, mark) and the word values, (block, payload) both.
+    words: the pieces of a UTF-8 text. values(words, counts): how many numbers each word has, and these
+    numbers in one array. counted: counts holds, over the whole corpus, how often a word occurs in
+    documents whose mark is 1. The documents stay where they were written; only words and values move."""
+    parts = shuffle_parts(docs.sparkSession)
+    read = docs.select(F.col("id").cast("long"), F.col("text").cast("binary"), F.col("mark").cast("byte"))
+    rows = materialize_by(read.mapInArrow(_split(words, parts, counted), "block string, bucket int, payload binary, kind int"), name, parts, "block", "kind")
+    spread = rows.where("kind = 1").select("bucket", "block", "payload").repartition(parts, "bucket").select("block", "payload")
+    return rows.where("kind = 0").select("block", "payload"), spread.mapInArrow(_value(values), "block string, payload binary")
 
 
-def assemble(rows: DataFrame, finish, schema: str, types: list[pa.DataType]) -> DataFrame:
+def assemble(rows: tuple[DataFrame, DataFrame], finish, schema: str, types: list[pa.DataType]) -> DataFrame:
     """One call of finish for each pack of documents:
     finish(ids, marks, sizes, words per document, word ordinals, offsets, lens, flat) -> columns."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return rows.groupBy("block").applyInArrow(_assemble(finish, names, types), schema)
+    return rows[0].groupBy("block").cogroup(rows[1].groupBy("block")).applyInArrow(_assemble(finish, names, types), schema)
 
 
 def sums(per_word: np.ndarray, counts: np.ndarray) -> np.ndarray:
