@@ -28,6 +28,8 @@ from .common import materialize_by, shuffle_parts
 #: Bytes of text after which a block is closed, and after which its documents are packed.
 BLOCK_BYTES, PACK_BYTES = 48 << 20, 4 << 20
 DOCS = -1
+#: Block of the rows that hold what `told` says of a task's words.
+TOLD = ""
 
 Words = Callable[[bytes], list]
 Values = Callable[[list, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -133,7 +135,7 @@ def _split(words: Words, buckets: int, counted: bool):
     return run
 
 
-def _value(values: Values):
+def _value(values: Values, told=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(b, p) for batch in batches for b, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
         index: dict = {}
@@ -151,6 +153,8 @@ def _value(values: Values):
             places.append(at)
         lens, flat = values(list(index), total[: len(index)])
         offsets = np.cumsum(lens) - lens
+        if told and index:
+            yield pa.record_batch([pa.array([TOLD], pa.string()), pa.array([pack(told(total[: len(index)], lens, flat))], pa.binary())], ["block", "payload"])
         for (block, data), at in zip(rows, places):
             value = pack((unpack(data)[0], lens[at].astype(np.uint32), flat[ragged(offsets, lens, at)]))
             yield pa.record_batch([pa.array([block], pa.string()), pa.array([value], pa.binary())], ["block", "payload"])
@@ -180,16 +184,17 @@ def _assemble(finish, names: list[str], types: list[pa.DataType]):
     return run
 
 
-def exchange(docs: DataFrame, words: Words, values: Values, name: str, counted: bool = False) -> tuple[DataFrame, DataFrame]:
+def exchange(docs: DataFrame, words: Words, values: Values, name: str, counted: bool = False, told=None) -> tuple[DataFrame, DataFrame]:
     """The packed documents of docs (id, text, mark) and the word values, (block, payload) both.
     words: the pieces of a UTF-8 text. values(words, counts): how many numbers each word has, and these
     numbers in one array. counted: counts holds, over the whole corpus, how often a word occurs in
-    documents whose mark is 1. The documents stay where they were written; only words and values move."""
+    documents whose mark is 1. told(counts, lens, flat): of each task's distinct words, what is sent along
+    in a row of block TOLD. The documents stay where they were written; only words and values move."""
     parts = shuffle_parts(docs.sparkSession)
     read = docs.select(F.col("id").cast("long"), F.col("text").cast("binary"), F.col("mark").cast("byte"))
     rows = materialize_by(read.mapInArrow(_split(words, parts, counted), "block string, bucket int, payload binary, kind int"), name, parts, "block", "kind")
     spread = rows.where("kind = 1").select("bucket", "block", "payload").repartition(parts, "bucket").select("block", "payload")
-    return rows.where("kind = 0").select("block", "payload"), spread.mapInArrow(_value(values), "block string, payload binary")
+    return rows.where("kind = 0").select("block", "payload"), spread.mapInArrow(_value(values, told), "block string, payload binary")
 
 
 def assemble(rows: tuple[DataFrame, DataFrame], finish, schema: str, types: list[pa.DataType]) -> DataFrame:
