@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import held_out
 
@@ -26,6 +26,7 @@ SWITCH = 4.0
 USES = 0.02
 #: Words whose scores a task remembers, and words times languages that one Viterbi run holds.
 CACHE, CELLS = 400_000, 8_000_000
+UND = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 
 # Where the ranges of scripts begin (Unicode blocks), and their names; "" is other.
@@ -137,7 +138,7 @@ _SPAN = pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.in
 
 
 def _labels(m: Model, switch: float):
-    def finish(ids, lens, rows, sizes, table):
+    def finish(kept, lens, rows, sizes, table):
         lens = np.array(lens, np.int64)
         rows = np.concatenate(rows) if rows else np.empty(0, np.int64)
         scores, chars = np.array(table, np.float32).reshape(-1, len(m.langs))[rows], np.array(sizes, np.float64)[rows]
@@ -159,44 +160,48 @@ def _labels(m: Model, switch: float):
         spans = pa.StructArray.from_arrays([pa.array([m.langs[x] for x in path[new]], pa.string()), pa.array((new - starts[doc[new]]).astype(np.int32)), pa.array(np.diff(np.append(new, len(path))).astype(np.int32))], fields=list(_SPAN))
         offsets = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
         some = lens > 0
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array([m.langs[b] if x else "und" for b, x in zip(best, some)], pa.string()), pa.array(np.where(some, share * np.maximum(sure, 0.5), 0.0)), pa.ListArray.from_arrays(offsets, spans)], ["doc_id", "lang_pred", "score", "spans"])
+        return pa.record_batch([pa.concat_arrays(kept), pa.array([m.langs[b] if x else UND for b, x in zip(best, some)], pa.string()), pa.array(np.where(some, share * np.maximum(sure, 0.5), 0.0)), pa.ListArray.from_arrays(offsets, spans)], ["kept", "lang_pred", "score", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         table, sizes = [], []
         limit = max(1000, CELLS // len(m.langs))
-        ids, lens, rows, held = [], [], [], 0
+        kept, lens, rows, held = [], [], [], 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            since = 0  # rows of the batch that are already out
+            for i, t in enumerate(b.column(1)):
                 words = WORDS.findall((t.as_py() or "").lower())
                 for w in words:
                     if w not in cache:
                         cache[w] = len(table)
                         table.append(scored(w, m))
                         sizes.append(len(w))
-                ids.append(i)
                 lens.append(len(words))
                 rows.append(np.fromiter(map(cache.__getitem__, words), np.int64, len(words)))
                 held += len(words) + 1
                 if held >= limit or len(table) >= CACHE:
-                    yield finish(ids, lens, rows, sizes, table)
-                    ids, lens, rows, held = [], [], [], 0
+                    yield finish([*kept, b.column(0).slice(since, i + 1 - since)], lens, rows, sizes, table)
+                    kept, lens, rows, held, since = [], [], [], 0, i + 1
                     if len(table) >= CACHE:
                         cache, table, sizes = {}, [], []
-        if ids:
-            yield finish(ids, lens, rows, sizes, table)
+            kept.append(b.column(0).slice(since))
+        if lens:
+            yield finish(kept, lens, rows, sizes, table)
 
     return run
 
 
-def detect(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> DataFrame:
-    """doc_id, lang_pred, score, spans (language, first word, words) of each row of docs (doc_id,
-    text; more columns are ignored). A null text, or one without letters, is `und` with score 0
-    and no spans; without a model every text is. score: the share of the letters in the language's
+def detect(docs: DataFrame, model: Model | None, kept: Column | None = None, switch: float = SWITCH) -> DataFrame:
+    """kept (doc_id, or what is asked for), lang_pred, score, spans (language, first word, words) of each
+    row of docs (doc_id, text). A null text, or one without letters, is `und` with score 0 and no
+    spans; without a model every text is. score: the share of the letters in the language's
     spans times how much likelier it is for the whole text than the next one."""
+    own = docs.select((F.col("doc_id").cast("long") if kept is None else kept).alias("kept"), F.col("text").alias("_text"))
+    spans = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType())]))
     if model is None:
-        return docs.select(F.col("doc_id").cast("long"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast("array<struct<lang:string,first:int,words:int>>").alias("spans"))
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_labels(model, switch), "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first:int,words:int>>")
+        return own.select("kept", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast(spans).alias("spans"))
+    schema = T.StructType([own.schema["kept"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", spans)])
+    return own.mapInArrow(_labels(model, switch), schema)
 
 
 def fit_unheld(docs: DataFrame) -> Model | None:
@@ -205,6 +210,12 @@ def fit_unheld(docs: DataFrame) -> Model | None:
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, spans; see detect()."""
-    got = detect(docs, fit_unheld(docs))
+    """doc_id, held_out, lang_pred, score, spans of each row of docs (more columns are ignored); see detect()."""
+    got = detect(docs, fit_unheld(docs)).withColumnRenamed("kept", "doc_id")
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
+
+
+def in_a_language(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose texts are in some language: all but `und`, with docs' own columns."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return detect(docs, fit_unheld(docs), row).where(F.col("lang_pred") != UND).select("kept.*")

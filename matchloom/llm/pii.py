@@ -12,8 +12,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bounds of the fit: documents with proposals that it reads (a hash of doc_id picks them), and proposals.
-SAMPLE_DOCS, SAMPLE_SPANS = 4_000, 20_000
+#: Bounds of the fit: documents that it reads (about; a hash of doc_id picks them), and proposals.
+SAMPLE_DOCS, SAMPLE_SPANS = 40_000, 20_000
 TREES, RATE, BINS = 30, 0.3, 16
 #: Share of the spans above a threshold that must pass the strict check, on the fold kept for it.
 PRECISION = 0.97
@@ -55,6 +55,7 @@ _MAY_MORE = {
 }
 _MARK = "\x01"
 _STEP = 64
+_TYPE = "array<struct<start:int,end:int,kind:string,base:boolean,v:string>>"
 
 
 def _digits(v: Column) -> Column:
@@ -81,29 +82,42 @@ def _spans(docs: DataFrame, jobs: list[tuple[str, str, Column, bool]]) -> DataFr
     around each match cut the text into pieces; the pieces' lengths, summed by steps so that many matches
     stay cheap, are the positions. The mark itself is turned into another control character first."""
     names = []
-    typed = "array<struct<start:int,end:int,kind:string,base:boolean,v:string>>"
     for k, (kind, pattern, may, base) in enumerate(jobs):
         marked = F.regexp_replace(F.translate("text", _MARK, "\x02"), pattern, f"{_MARK}$0{_MARK}")
         docs = docs.withColumn(f"p{k}", F.when(may, F.split(marked, _MARK, -1)))
         names.append(f"p{k}")
     out = []
     for k, (kind, _, _, base) in enumerate(jobs):
-        p = F.col(f"p{k}")
-        steps = F.transform(F.sequence(F.lit(0), F.size(p) - 1, F.lit(_STEP)), lambda i, p=p: F.slice(p, i + 1, _STEP))
-
-        def walk(step: Column, at: Column, kind=kind, base=base) -> Column:
-            start = F.struct(at.alias("at"), F.lit(False).alias("on"), F.array().cast(typed).alias("out"))
-            span = lambda a, x: F.struct(a["at"].alias("start"), (a["at"] + F.length(x)).alias("end"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), x.alias("v"))
-            # _STEP is even, so each step begins outside a match
-            return F.aggregate(step, start, lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), (~a["on"]).alias("on"), F.when(a["on"], F.concat(a["out"], F.array(span(a, x)))).otherwise(a["out"]).alias("out")), lambda a: a["out"])
-
-        total = lambda step: F.aggregate(step, F.lit(0), lambda a, x: a + F.length(x))
-        begins = F.aggregate(F.transform(steps, total), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-        docs = docs.withColumn(f"s{k}", F.when(F.size(p) > 1, steps)).withColumn(f"b{k}", F.when(F.size(p) > 1, begins))
-        out.append(F.when(F.size(p) > 1, F.flatten(F.transform(f"s{k}", lambda s, i, k=k, walk=walk: walk(s, F.get(f"b{k}", i))))).otherwise(F.array().cast(typed)))
+        p, s, b = F.col(f"p{k}"), f"s{k}", f"b{k}"
+        docs = docs.withColumn(s, F.when(F.size(p) > 1, _steps(p)))
+        docs = docs.withColumn(b, F.when(F.size(p) > 1, F.aggregate(F.transform(s, _length), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))))
+        out.append(F.when(F.size(p) > 1, F.flatten(_walked(s, b, kind, base))).otherwise(F.array().cast(_TYPE)))
     return docs.withColumn("spans", F.concat(*out)).drop(*names, *(f"{x}{k}" for k in range(len(jobs)) for x in "sb"))
 
 
+def _steps(pieces: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(pieces) - 1, F.lit(_STEP)), lambda i: F.slice(pieces, i + 1, _STEP))
+
+
+def _length(step: Column) -> Column:
+    return F.aggregate(step, F.lit(0), lambda a, x: a + F.length(x))
+
+
+def _walked(steps: str, begins: str, kind: str, base: bool) -> Column:
+    """The spans of each step. _STEP is even, so a step begins outside a match."""
+
+    def add(a: Column, x: Column) -> Column:
+        end = a["at"] + F.length(x)
+        span = F.struct(a["at"].alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), x.alias("v"))
+        return F.struct(end.alias("at"), (~a["on"]).alias("on"), F.when(a["on"], F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+
+    def one(step: Column, i: Column) -> Column:
+        start = F.struct(F.get(F.col(begins), i).alias("at"), F.lit(False).alias("on"), F.array().cast(_TYPE).alias("out"))
+        return F.aggregate(step, start, add, lambda a: a["out"])
+
+    return F.transform(steps, one)
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
     t = F.col("text")
     x = _spans(docs, [(k, BASE[k], _MAY[k](t), True) for k in KINDS])
@@ -216,9 +230,8 @@ def fit(docs: DataFrame) -> Trees:
     label of a proposal is its kind's strict check (check digit, number of digits, range of the parts)
     with no letter or digit touching it."""
     t = F.col("text")
-    some = docs.select("doc_id", "text").where(t.isNotNull() & (_MAY_MORE["card"](t) | _MAY_MORE["phone"](t) | _MAY_MORE["ip"](t) | _MAY_MORE["email"](t)))
-    share = F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(1 << 20))
-    some = some.orderBy(share, "doc_id").limit(SAMPLE_DOCS)  # a sort that keeps SAMPLE_DOCS rows a task
+    n = docs.count()
+    some = docs.select("doc_id", "text").where(t.isNotNull() & (F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(1 << 20)) < int(min(1.0, SAMPLE_DOCS / max(n, 1)) * (1 << 20)) + 1))
     x = _spans(some, [(k, MORE[k], _MAY_MORE[k](t), False) for k in KINDS]).where(F.size("spans") > 0).select("doc_id", "text", F.explode("spans").alias("s"))
     f = features(F.col("s"), t)
     y = strict(F.col("s.kind"), F.col("s.v")) & (f[9] + f[11] == 0) & ~F.substring("text", F.col("s.start"), F.when(F.col("s.start") > 0, 1).otherwise(0)).rlike("[A-Za-z]")
@@ -238,7 +251,7 @@ def detect(docs: DataFrame, trees: Trees) -> DataFrame:
     none = F.array().cast("array<struct<z:double,start:int,end:int,kind:string,base:boolean,v:string>>")
     best = F.aggregate("more", none, lambda a, s: F.when(F.exists(a, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])), a).otherwise(F.concat(a, F.array(s))))
     plain = F.transform(best, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"), s["v"].alias("v")))
-    return x.withColumn("added", F.coalesce(plain, F.array().cast("array<struct<start:int,end:int,kind:string,base:boolean,v:string>>"))).drop("more")
+    return x.withColumn("added", F.coalesce(plain, F.array().cast(_TYPE))).drop("more")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -246,8 +259,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     more columns are ignored). Null and empty texts have no spans; repeated rows come back as often."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     x = detect(base, fit(base)).select("doc_id", "kept", F.concat("kept", "added").alias("every"))
-    counts = {f"n_{k}": F.size(F.filter("kept", lambda s, k=k: s["kind"] == k)).cast("long") for k in KINDS}
-    return x.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(_listed(F.col("kept")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("every")).alias("spans"))
+    kinds = F.transform("kept", lambda s: s["kind"])
+    counts = [(F.size("kept") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return x.select("doc_id", *counts, F.sha2(_listed(F.col("kept")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("every")).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import materialize
 from .components import components
@@ -63,17 +63,41 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row of docs, and (fp, root, component_id) of each fingerprint: root is the
+    same for all fingerprints of a component, component_id the smallest doc_id of its rows."""
+    own = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(_fingerprints, "doc_id long, fp long"), "op4-fp")
+    fps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "op4-distinct")
+    roots = materialize(components(links(fps)), "op4-roots")
+    named = roots.join(fps, roots["node"] == fps["fp"]).select("node", "root", "least")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    moved = named.join(ids, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    return own, fps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row of docs (doc_id, text; more
     columns are ignored). Null and empty texts, and texts without words, have fingerprint zero
     and are linked like any other. Repeated rows fall together; the smallest doc_id of those that
     aren't null names a component. Only distinct fingerprints are compared, so copies, however many,
     cost nothing beyond their own fingerprint."""
-    own = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(_fingerprints, "doc_id long, fp long"), "op4-fp")
-    fps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "op4-distinct")
-    roots = materialize(components(links(fps)), "op4-roots")
-    named = roots.join(fps, roots["node"] == fps["fp"]).select("node", "root", "least")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = named.join(ids, "root").select(F.col("node").alias("fp"), "component_id")
-    to = fps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    own, to = classes(docs)
     return own.join(to, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch([b.column(0), pa.array([fingerprint(x.as_py() or b"") for x in b.column(1)], pa.int64())], ["_row", "fp"])
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component, with docs' own columns: one with the smallest doc_id (a null
+    one only if all are)."""
+    own, to = classes(docs)
+    first = own.join(to, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("m")).select(F.col("m.doc_id").alias("id"), F.col("m.fp").alias("own"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text").cast("binary"))
+    rows = held.mapInArrow(_carried, T.StructType([held.schema["_row"], T.StructField("fp", T.LongType())]))
+    rows = rows.withColumn("doc_id", F.col("_row.doc_id").cast("long"))
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("own")), "left_semi")
+    once = Window.partitionBy("doc_id", "fp").orderBy(F.xxhash64("_row"))
+    return kept.withColumn("n", F.row_number().over(once)).where("n = 1").select("_row.*")
