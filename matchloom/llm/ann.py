@@ -17,10 +17,11 @@ from .common import materialize
 SAMPLE, LISTS = 1 << 21, 1024
 #: Dimensions of a subspace, and its codewords.
 SUB, WORDS, ROUNDS = 4, 256, 8
-#: Rows of a list that meet in one task, and queries; larger lists and query groups are dealt out.
+#: Rows of a shard (some lists, or a part of a large one), and queries that meet them in one call.
 CHUNK, QUERIES = 8192, 2048
-#: Share of the lists a query looks into (at least PROBES), and rows of a chunk that it reranks exactly.
-PROBE, PROBES, RERANK = 0.25, 12, 100
+#: Share of the lists a query looks into (at least PROBES), and rows of a shard that it reranks exactly.
+#: Vectors without much structure have neighbours in most lists: less than this costs recall there.
+PROBE, PROBES, RERANK = 0.85, 16, 200
 
 
 @dataclass
@@ -38,6 +39,13 @@ class Index:
         r = self.pad(x - self.centroids[at])
         return at, np.stack([nearest(r[:, SUB * s : SUB * s + SUB], b) for s, b in enumerate(self.books)], 1).astype(np.uint8)
 
+    def looks(self, q: np.ndarray) -> np.ndarray:
+        """Which lists each query looks into: those whose centroids have the largest inner products with it."""
+        near = q @ self.centroids.T
+        out = np.zeros(near.shape, bool)
+        np.put_along_axis(out, np.argsort(-near, axis=1, kind="stable")[:, : self.probes], True, 1)
+        return out
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of each query's parts with every codeword: query, subspace, codeword."""
         p = self.pad(q).reshape(len(q), -1, SUB)
@@ -89,12 +97,14 @@ def _encoded(index: Index, dim: int):
     return run
 
 
-def _probed(index: Index, dim: int):
+def _asking(index: Index, dim: int, first: np.ndarray, chunks: np.ndarray):
+    """Each query and the shards that hold the lists it looks into."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                near = np.argsort(-(_vectors(b.column(1), dim) @ index.centroids.T), axis=1, kind="stable")[:, : index.probes]
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], ["q", "qv", "lists"])
+                shards = [np.unique(np.concatenate([np.arange(first[k], first[k] + chunks[k]) for k in np.flatnonzero(on)])).astype(np.int32) for on in index.looks(_vectors(b.column(1), dim))]
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(shards, pa.list_(pa.int32()))], ["q", "qv", "shards"])
 
     return run
 
@@ -104,22 +114,43 @@ def _search(index: Index, keep: int, rerank: int):
         out = []
         if len(rows) and len(queries):
             rows = rows.assign(first=[i[0] for i in rows["ids"]]).sort_values("first")  # ties go to the smaller id
-            x, ids = np.stack(rows["v"].to_numpy()).astype(np.float64), rows["ids"].to_numpy()
+            x, ids, at = np.stack(rows["v"].to_numpy()), rows["ids"].to_numpy(), rows["list"].to_numpy()
             codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-            q = np.stack(queries["qv"].to_numpy())
-            t = index.tables(q.astype(np.float32))
-            for i in range(len(q)):
-                near = sum(t[i, s][codes[:, s]] for s in range(codes.shape[1]))  # within a list, the centroid's part is the same
-                top = np.sort(np.argpartition(-near, rerank)[:rerank]) if len(near) > rerank else np.arange(len(near))
-                # a row's dot product in a fixed order, so that equal vectors score alike everywhere
-                exact = (x[top] * q[i].astype(np.float64)).sum(1)
-                best = top[order := np.argsort(-exact, kind="stable")[:keep]]
-                out.append((queries["q"].iat[i], exact[order], [ids[j] for j in best]))
+            for i in range(0, len(queries), 128):
+                names, q = queries["q"].to_numpy()[i : i + 128], np.stack(queries["qv"].to_numpy()[i : i + 128])
+                single = q.astype(np.float32)
+                near, t = (single @ index.centroids.T)[:, at], index.tables(single)
+                for s in range(codes.shape[1]):
+                    near += t[:, s][:, codes[:, s]]
+                near[~index.looks(single)[:, at]] = -np.inf
+                n = min(rerank, near.shape[1])
+                top = np.sort(np.argpartition(-near, n - 1, axis=1)[:, :n], axis=1)
+                exact = np.stack([(x[rows_of] * q[j]).sum(1) for j, rows_of in enumerate(top)])
+                exact[np.isneginf(np.take_along_axis(near, top, 1))] = -np.inf
+                order = np.argsort(-exact, axis=1, kind="stable")[:, :keep]
+                for j, o in enumerate(order):
+                    o = o[np.isfinite(exact[j, o])]
+                    out.append((names[j], exact[j, o], [ids[r] for r in top[j, o]]))
         return pd.DataFrame({"q": [o[0] for o in out], "scores": [o[1] for o in out], "ids": [o[2] for o in out]})
 
     return run
 
 
+def shards(sizes: dict[int, int], lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each list's first shard and how many it has: small lists share one, large ones are dealt out."""
+    first, chunks, held, k = np.zeros(lists, np.int64), np.ones(lists, np.int64), 0, 0
+    for i in range(lists):
+        n = sizes.get(i, 0)
+        if held and held + n > CHUNK:
+            k, held = k + 1, 0
+        first[i], chunks[i] = k, max(1, -(-n // CHUNK))
+        if chunks[i] > 1:
+            k, held = k + int(chunks[i]), 0
+        else:
+            held += n
+    return first, chunks
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v: without vectors that are null, empty or zero or hold null or non-finite numbers."""
     v = F.col("embedding").cast("array<double>")
@@ -153,14 +184,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None =
     listed = materialize(one.mapInArrow(_encoded(index, dim), "list int, ids array<long>, v array<double>, code binary"), "op1-index")
     asked = own.where(F.col("vec_id") % every == 0)
     query = materialize(asked.groupBy("v").agg(F.min("vec_id").alias("q")).select("q", "v"), "op1-queries")
-    probed = materialize(query.mapInArrow(_probed(index, dim), "q long, qv array<double>, lists array<int>").select("q", "qv", F.explode("lists").alias("list")), "op1-probes")
-    # how many parts each list's rows and queries are dealt into: a row a list, so at most LISTS
-    n = listed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    m = probed.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    dealt = F.broadcast(n.join(m, "list"))
-    rows = listed.join(dealt, "list").select("list", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "ids", "v", "code")
-    wanted = probed.join(dealt, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("q"), "parts").cast("int").alias("part"), "q", "qv")
-    key = ("list", "chunk", "part")
+    # a row a list, so LISTS at most
+    first, chunks = shards({r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}, len(index.centroids))
+    known = spark.createDataFrame([(i, int(first[i]), int(chunks[i])) for i in range(len(first))], "list int, first int, chunks int")
+    parts = max(1, -(-query.count() // QUERIES))
+    rows = listed.join(F.broadcast(known), "list").select((F.col("first") + F.pmod(F.xxhash64(F.get("ids", F.lit(0))), "chunks")).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "list", "ids", "v", "code")
+    wanted = query.mapInArrow(_asking(index, dim, first, chunks), "q long, qv array<double>, shards array<int>").select(F.explode("shards").alias("shard"), F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int").alias("part"), "q", "qv")
+    key = ("shard", "part")
     got = rows.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInPandas(_search(index, k + 1, rerank), "q long, scores array<double>, ids array<array<long>>")
     near = got.select("q", F.explode(F.arrays_zip("scores", "ids")).alias("x")).select("q", F.col("x.scores").alias("score"), F.col("x.ids").alias("ids"))
     top = Window.partitionBy("q").orderBy(F.desc("score"), F.get("ids", F.lit(0)))
