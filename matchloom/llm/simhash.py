@@ -72,7 +72,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = roots.join(fps, roots["node"] == fps["fp"]).select("node", "root", "least")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = named.join(ids, "root").select(F.col("node").alias("fp"), "root", "component_id")
-    return own, fps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    to = fps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return own, materialize(to, "op4-classes")  # read plainly by the joins, so that Spark can split a hot fingerprint
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
