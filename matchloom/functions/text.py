@@ -5,14 +5,14 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from . import vocab
 
 _NON_ASCII = r"[^\x00-\x7F]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(s: pd.Series) -> pd.Series:
     def one(t):
         if any("ऀ" <= c <= "ॿ" for c in t):

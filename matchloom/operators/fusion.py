@@ -64,7 +64,7 @@ def rrf(k: int = 60, with_dense: bool = False) -> Column:
 def compress(pairs: DataFrame, k: int = 60, s2: int = 20, s3: int = 20, most: int = 40, with_dense: bool = False) -> DataFrame:
     """Adds rrf_score and rank: the best s2 candidates of S2 and s3 of S3, and of these the best `most`."""
     x = pairs.withColumn("rrf_score", rrf(k, with_dense))
-    own = Window.partitionBy("s1_id", "candidate_source").orderBy(F.desc("rrf_score"), "candidate_id")
+    own = Window.partitionBy("s1_id", "candidate_source").orderBy(F.round("rrf_score", 9).desc(), "candidate_id")
     x = x.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= F.when(F.col("candidate_source") == "S2", s2).otherwise(s3)).drop("_n")
     return R.top(x, most, "rrf_score")
 

@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, Log
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .evaluation import f05
 
@@ -66,7 +66,7 @@ def ambiguous(scored: DataFrame, low: float = 0.3, high: float = 0.8, margin: fl
 def rerank(pairs: DataFrame, texts: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
     """Adds ce_score, the sigmoid of scorer(S1 text, candidate text). texts: entity_id, record_text."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         import numpy as np
 

@@ -16,9 +16,9 @@ BUILD = 25
 
 
 def top(df: DataFrame, k: int, score: str = "score", key: str = "s1_id") -> DataFrame:
-    """The k best rows of each key by score, ties to the smaller candidate_id, with their rank. Spark
-    limits each group before it shuffles."""
-    w = Window.partitionBy(key).orderBy(F.desc(score), "candidate_id")
+    """The k best rows of each key by score, ties to the smaller candidate_id, with their rank. Scores that
+    agree to nine places tie, whatever order they were summed in. Spark limits each group before it shuffles."""
+    w = Window.partitionBy(key).orderBy(F.round(score, 9).desc(), "candidate_id")
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..shipping import ship
 from ..sources import files
 
 _BRANDS = "acme,globex,initech,umbra,stark,wayne,soylent,hooli,vandelay,wonka,tyrell,cyber,oscorp,massive,gringott,nakatomi,zorg,virtu,aperture"
@@ -46,6 +47,7 @@ TRUTH = "SELECT 'S1-' || CAST(k AS STRING) AS s1_id, CASE WHEN k % 5 <> 0 THEN '
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.sql(BASE.replace("FROM customer", "FROM {customer}").replace("JOIN nation", "JOIN {nation}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"), nation=spark.read.parquet(f"{sf_dir}/nation.parquet"))
 
 
@@ -57,8 +59,8 @@ def rows(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 
 
 def queries_and_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Normalised records of S1, and of S2 and S3."""
-    return files.records(rows(spark, sf_dir, "S1")), files.records(rows(spark, sf_dir, "S2", "S3"))
+    """Normalised records of S1, and of S2 and S3: kept, since every channel and the features read them."""
+    return files.records(rows(spark, sf_dir, "S1")).persist(), files.records(rows(spark, sf_dir, "S2", "S3")).persist()
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:

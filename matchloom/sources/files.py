@@ -46,7 +46,7 @@ def scan_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_truth(truth: DataFrame) -> DataFrame:
     """(s1_id, matches): the listed ids, trimmed, none of them empty; [] is a singleton."""
-    ids = F.filter(F.transform(F.split(F.coalesce("matched_entity_ids", F.lit("")), ","), F.trim), lambda x: x != "")
+    ids = F.filter(F.transform(F.split(F.coalesce("matched_entity_ids", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return truth.select(F.col("source1_entity_id").alias("s1_id"), ids.alias("matches"))
 
 
