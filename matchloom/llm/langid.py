@@ -7,6 +7,7 @@ Viterbi with a switching penalty then labels every word, and the spans follow.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ SWITCH = 4.0
 #: A language uses a script if at least this share of its letters is in it.
 USES = 0.02
 #: Words whose scores a task remembers, and words times languages that one Viterbi run holds.
-CACHE, CELLS = 400_000, 8_000_000
+CACHE, CELLS = 250_000, 3_000_000
 UND = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -94,12 +95,19 @@ def fit(docs: DataFrame, sample: int = SAMPLE, keep: int = GRAMS) -> Model | Non
     return Model(langs, rows, (logs - logs.mean(1, keepdims=True)).astype(np.float32), scripts)
 
 
-def scored(word: str, m: Model) -> np.ndarray:
-    """Scores of a word, up to a constant; the n-grams overlap, so a third of their sum counts."""
-    ids = [m.rows.get(g, 0) for g in grams(word)]
-    s = m.table[ids].sum(0) / 3
-    narrow = m.scripts.get(script(word))
-    return s if narrow is None else s + narrow
+def scored(words: list[str], m: Model) -> np.ndarray:
+    """Scores of words, up to a constant; the n-grams overlap, so a third of their sum counts."""
+    if not words:
+        return np.empty((0, len(m.langs)), np.float32)
+    ids = [[m.rows.get(g, 0) for g in grams(w)] for w in words]
+    lens = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(lens.sum()))
+    out = np.add.reduceat(m.table[flat], np.cumsum(lens) - lens) / np.float32(3)
+    own = np.array([script(w) for w in words])
+    for name, penalty in m.scripts.items():
+        if penalty.any():
+            out[own == name] += penalty
+    return out
 
 
 def viterbi(scores: np.ndarray, lens: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -137,16 +145,14 @@ def viterbi(scores: np.ndarray, lens: np.ndarray, switch: float = SWITCH) -> np.
 _SPAN = pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())])
 
 
-def _labels(m: Model, switch: float):
+def _labels(m: Model, switch: float, carried: bool):
     def finish(kept, lens, rows, sizes, table):
         lens = np.array(lens, np.int64)
         rows = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        scores, chars = np.array(table, np.float32).reshape(-1, len(m.langs))[rows], np.array(sizes, np.float64)[rows]
-        path, doc = viterbi(scores, lens, switch), np.repeat(np.arange(len(lens)), lens)
-        letters = np.zeros((len(lens), len(m.langs)))
-        np.add.at(letters, (doc, path), chars)
-        total = np.zeros((len(lens), len(m.langs)))
-        np.add.at(total, doc, scores.astype(np.float64))
+        scores, n, k = table[rows], len(lens), len(m.langs)
+        path, doc = viterbi(scores, lens, switch), np.repeat(np.arange(n), lens)
+        letters = np.bincount(doc * k + path, sizes[rows], n * k).reshape(n, k).astype(float)
+        total = np.stack([np.bincount(doc, scores[:, j], n) for j in range(k)], 1).astype(float)
         # most letters first; the whole text's score breaks ties
         best = np.lexsort((np.broadcast_to(-np.arange(len(m.langs)), letters.shape), total, letters), axis=1)[:, -1]
         d = np.arange(len(lens))
@@ -163,45 +169,55 @@ def _labels(m: Model, switch: float):
         return pa.record_batch([pa.concat_arrays(kept), pa.array([m.langs[b] if x else UND for b, x in zip(best, some)], pa.string()), pa.array(np.where(some, share * np.maximum(sure, 0.5), 0.0)), pa.ListArray.from_arrays(offsets, spans)], ["kept", "lang_pred", "score", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
-        table, sizes = [], []
         limit = max(1000, CELLS // len(m.langs))
-        kept, lens, rows, held = [], [], [], 0
+        cache: dict[str, int] = {}
+        table, sizes = np.empty((0, len(m.langs)), np.float32), np.empty(0)
+        kept, lens, rows, fresh, held = [], [], [], [], 0
+
+        def close():
+            nonlocal cache, table, sizes, kept, lens, rows, fresh, held
+            table = np.concatenate([table, scored(fresh, m)])
+            sizes = np.concatenate([sizes, np.fromiter(map(len, fresh), float, len(fresh))])
+            out = finish(kept, lens, rows, sizes, table)
+            kept, lens, rows, fresh, held = [], [], [], [], 0
+            if len(cache) >= CACHE:
+                cache, table, sizes = {}, table[:0], sizes[:0]
+            return out
+
         for b in batches:
             since = 0  # rows of the batch that are already out
-            for i, t in enumerate(b.column(1)):
+            own = b.column(0)
+            for i, t in enumerate(own.field("text") if carried else b.column(1)):
                 words = WORDS.findall((t.as_py() or "").lower())
                 for w in words:
                     if w not in cache:
-                        cache[w] = len(table)
-                        table.append(scored(w, m))
-                        sizes.append(len(w))
+                        cache[w] = len(cache)
+                        fresh.append(w)
                 lens.append(len(words))
                 rows.append(np.fromiter(map(cache.__getitem__, words), np.int64, len(words)))
                 held += len(words) + 1
-                if held >= limit or len(table) >= CACHE:
-                    yield finish([*kept, b.column(0).slice(since, i + 1 - since)], lens, rows, sizes, table)
-                    kept, lens, rows, held, since = [], [], [], 0, i + 1
-                    if len(table) >= CACHE:
-                        cache, table, sizes = {}, [], []
-            kept.append(b.column(0).slice(since))
+                if held >= limit or len(cache) >= CACHE:
+                    kept.append(own.slice(since, i + 1 - since))
+                    since = i + 1
+                    yield close()
+            kept.append(own.slice(since))
         if lens:
-            yield finish(kept, lens, rows, sizes, table)
+            yield close()
 
     return run
 
 
 def detect(docs: DataFrame, model: Model | None, kept: Column | None = None, switch: float = SWITCH) -> DataFrame:
-    """kept (doc_id, or what is asked for), lang_pred, score, spans (language, first word, words) of each
+    """kept (doc_id, or a struct with text among its fields), lang_pred, score, spans (language, first word, words) of each
     row of docs (doc_id, text). A null text, or one without letters, is `und` with score 0 and no
     spans; without a model every text is. score: the share of the letters in the language's
     spans times how much likelier it is for the whole text than the next one."""
-    own = docs.select((F.col("doc_id").cast("long") if kept is None else kept).alias("kept"), F.col("text").alias("_text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("kept"), F.col("text").alias("_text")) if kept is None else docs.select(kept.alias("kept"))
     spans = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType())]))
     if model is None:
         return own.select("kept", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast(spans).alias("spans"))
     schema = T.StructType([own.schema["kept"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", spans)])
-    return own.mapInArrow(_labels(model, switch), schema)
+    return own.mapInArrow(_labels(model, switch, kept is not None), schema)
 
 
 def fit_unheld(docs: DataFrame) -> Model | None:

@@ -88,7 +88,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.record_batch([b.column(0), pa.array([fingerprint(x.as_py() or b"") for x in b.column(1)], pa.int64())], ["_row", "fp"])
+        yield pa.record_batch([b.column(0), pa.array([fingerprint((x.as_py() or "").encode()) for x in b.column(0).field("text")], pa.int64())], ["_row", "fp"])
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     one only if all are)."""
     own, to = classes(docs)
     first = own.join(to, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("m")).select(F.col("m.doc_id").alias("id"), F.col("m.fp").alias("own"))
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text").cast("binary"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     rows = held.mapInArrow(_carried, T.StructType([held.schema["_row"], T.StructField("fp", T.LongType())]))
     rows = rows.withColumn("doc_id", F.col("_row.doc_id").cast("long"))
     kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("own")), "left_semi")
