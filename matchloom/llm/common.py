@@ -7,29 +7,27 @@ import contextlib
 import gc
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import shipping
+
 #: Training rows of operators 5 and 8: crc32(doc_id as text) mod 3 is not 1.
 FOLDS, HELD_OUT = 3, 1
 
-_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Rows of a batch that goes to Python, unless the session has its own number: texts are long.
+BATCH_ROWS, _DEFAULT_ROWS = "1000", "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once an application: they may not have it."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        top = Path(__file__).resolve().parents[1]
-        file = Path(tempfile.mkdtemp(prefix="matchloom-code-")) / "matchloom.zip"
-        with zipfile.ZipFile(file, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        sc.addPyFile(str(file))
-        _shipped.add(sc.applicationId)
+    """Makes a session ready: its executors have this package, and batches of texts stay small."""
+    shipping.ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .common import held_out
 
 #: Bounds of the fit: labelled documents it reads (a hash of doc_id picks them), and n-grams it keeps.
-SAMPLE, GRAMS = 20_000, 200_000
+SAMPLE, GRAMS = 20_000, 100_000
 #: What a switch of language costs, in the words' score units.
 SWITCH = 4.0
 #: A language uses a script if at least this share of its letters is in it.
@@ -74,21 +74,22 @@ def fit(docs: DataFrame, sample: int = SAMPLE, keep: int = GRAMS) -> Model | Non
     n = known.count()
     if n > sample:
         known = known.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
-    got = known.select("text", "lang").mapInArrow(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(keep).collect()
-    langs = sorted({r.lang for r in got})
+    got = known.select("text", "lang").mapInArrow(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(keep).toArrow()
+    got = list(zip(*(got.column(c).to_pylist() for c in ("lang", "gram", "n"))))
+    langs = sorted({lang for lang, _, _ in got})
     if not langs:
         return None
     at = {x: i for i, x in enumerate(langs)}
     rows: dict[str, int] = {}
-    for r in got:
-        if r.gram[0] != "#":
-            rows.setdefault(r.gram, len(rows) + 1)
+    for _, gram, _ in got:
+        if gram[0] != "#":
+            rows.setdefault(gram, len(rows) + 1)
     counts, used = np.zeros((len(rows) + 1, len(langs))), {}
-    for r in got:
-        if r.gram[0] == "#":
-            used.setdefault(r.gram[1:], np.zeros(len(langs)))[at[r.lang]] = r.n
+    for lang, gram, n in got:
+        if gram[0] == "#":
+            used.setdefault(gram[1:], np.zeros(len(langs)))[at[lang]] = n
         else:
-            counts[rows[r.gram], at[r.lang]] = r.n
+            counts[rows[gram], at[lang]] = n
     total = sum(used.values())
     scripts = {s: np.where(u >= USES * np.maximum(total, 1), 0.0, -20.0).astype(np.float32) for s, u in used.items() if (u >= USES * np.maximum(total, 1)).any()}
     logs = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * len(counts)))

@@ -13,6 +13,9 @@ the words of a block differently from what the buckets saw.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import pickle
 import uuid
 import zlib
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialize_by, shuffle_parts
 
 #: Bytes of text after which a block is closed, and after which its documents are packed.
-BLOCK_BYTES, PACK_BYTES = 48 << 20, 4 << 20
+BLOCK_BYTES, PACK_BYTES = 24 << 20, 2 << 20
 DOCS = -1
 #: Block of the rows that hold what `told` says of a task's words.
 TOLD = ""
@@ -35,6 +38,14 @@ Words = Callable[[bytes], list]
 Values = Callable[[list, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+def trim() -> None:
+    """Give memory that is no longer used back to the system: a worker lives on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack(obj) -> bytes:
     return zstandard.compress(pickle.dumps(obj, protocol=5), 3)
 
@@ -131,6 +142,8 @@ def _split(words: Words, buckets: int, counted: bool):
                     block = _Block()
         if block.bytes:
             yield _batch(close())
+        del block
+        trim()
 
     return run
 
@@ -158,6 +171,8 @@ def _value(values: Values, told=None):
         for (block, data), at in zip(rows, places):
             value = pack((unpack(data)[0], lens[at].astype(np.uint32), flat[ragged(offsets, lens, at)]))
             yield pa.record_batch([pa.array([block], pa.string()), pa.array([value], pa.binary())], ["block", "payload"])
+        del rows, index, total, places, flat
+        trim()
 
     return run
 
@@ -179,6 +194,8 @@ def _assemble(finish, names: list[str], types: list[pa.DataType]):
         for data in docs.column("payload").to_pylist():
             ids, marks, sizes, counts, seq = unpack(data)
             out.append(pa.table(dict(zip(names, finish(ids, marks, sizes, counts, unplanes(seq).astype(np.int64), offsets, lens, flat)))).cast(schema))
+        del flat, lens, offsets, parts
+        trim()
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
