@@ -26,11 +26,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts by its kind."""
+    ship(spark)
     return pii.redacted(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document 0, 1 or 2 times, so that the sources' words come near their targets."""
+    ship(spark)
     return mixing.mixed_documents(docs)
 
 
