@@ -19,15 +19,17 @@ TREES, RATE, BINS = 30, 0.3, 16
 PRECISION = 0.97
 #: Characters of context on either side of a proposal.
 AROUND = 12
+FEATURES = 15
 
 # Kinds in order, and the base patterns. Each matches what the plain pattern of its kind
-# does, leftmost first; what is possessive, or may start only where no run goes on to the left (or at the
+# does, leftmost first, but for cards of too few or too many digits, which fail anyway, and for hosts of over
+# 2,000 labels (Java's matcher recurses for each, and would run out of stack); what is possessive, or may start only where no run goes on to the left (or at the
 # end of the last match), keeps the search linear in long runs.
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,2000}+",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[ -]?[0-9]){13,}+",
+    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
@@ -35,7 +37,7 @@ _IP_OK = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 # Further generators, for what the base patterns swallow into a longer match that fails,
 # or don't spell: phones with a fixed layout, cards in groups or in one piece, addresses in words.
 MORE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]{1,63}+|\.[A-Za-z0-9-]{1,63}+)++",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]{1,63}+|\.[A-Za-z0-9-]{1,63}+){1,20}+",
     "ip": r"(?<![0-9])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -55,7 +57,7 @@ _MAY_MORE = {
 }
 _MARK = "\x01"
 _STEP = 64
-_TYPE = "array<struct<start:int,end:int,kind:string,base:boolean,v:string>>"
+_TYPE = "array<struct<start:int,end:int,kind:string,v:string,left:string,right:string>>"
 
 
 def _digits(v: Column) -> Column:
@@ -77,21 +79,21 @@ def strict(kind: Column, v: Column) -> Column:
     )
 
 
-def _spans(docs: DataFrame, jobs: list[tuple[str, str, Column, bool]]) -> DataFrame:
-    """Adds spans: those (start, end, kind, base, v) of all jobs (kind, pattern, test, base). Marks set
+def _spans(docs: DataFrame, jobs: list[tuple[str, str, Column]]) -> DataFrame:
+    """Adds spans: those (start, end, kind, v, and what stands left and right of it) of all jobs (kind, pattern, test). Marks set
     around each match cut the text into pieces; the pieces' lengths, summed by steps so that many matches
     stay cheap, are the positions. The mark itself is turned into another control character first."""
     names = []
-    for k, (kind, pattern, may, base) in enumerate(jobs):
+    for k, (kind, pattern, may) in enumerate(jobs):
         marked = F.regexp_replace(F.translate("text", _MARK, "\x02"), pattern, f"{_MARK}$0{_MARK}")
         docs = docs.withColumn(f"p{k}", F.when(may, F.split(marked, _MARK, -1)))
         names.append(f"p{k}")
     out = []
-    for k, (kind, _, _, base) in enumerate(jobs):
+    for k, (kind, _, _) in enumerate(jobs):
         p, s, b = F.col(f"p{k}"), f"s{k}", f"b{k}"
         docs = docs.withColumn(s, F.when(F.size(p) > 1, _steps(p)))
         docs = docs.withColumn(b, F.when(F.size(p) > 1, F.aggregate(F.transform(s, _length), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))))
-        out.append(F.when(F.size(p) > 1, F.flatten(_walked(s, b, kind, base))).otherwise(F.array().cast(_TYPE)))
+        out.append(F.when(F.size(p) > 1, F.flatten(_walked(s, b, kind, f"p{k}"))).otherwise(F.array().cast(_TYPE)))
     return docs.withColumn("spans", F.concat(*out)).drop(*names, *(f"{x}{k}" for k in range(len(jobs)) for x in "sb"))
 
 
@@ -103,16 +105,17 @@ def _length(step: Column) -> Column:
     return F.aggregate(step, F.lit(0), lambda a, x: a + F.length(x))
 
 
-def _walked(steps: str, begins: str, kind: str, base: bool) -> Column:
+def _walked(steps: str, begins: str, kind: str, pieces: str) -> Column:
     """The spans of each step. _STEP is even, so a step begins outside a match."""
+    near = lambda k: F.coalesce(F.get(F.col(pieces), k), F.lit(""))
 
     def add(a: Column, x: Column) -> Column:
         end = a["at"] + F.length(x)
-        span = F.struct(a["at"].alias("start"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), x.alias("v"))
-        return F.struct(end.alias("at"), (~a["on"]).alias("on"), F.when(a["on"], F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+        span = F.struct(a["at"].alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x.alias("v"), F.right(near(a["k"] - 1), F.lit(AROUND)).alias("left"), F.left(near(a["k"] + 1), F.lit(AROUND)).alias("right"))
+        return F.struct(end.alias("at"), (a["k"] + 1).alias("k"), F.when(a["k"] % 2 == 1, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
     def one(step: Column, i: Column) -> Column:
-        start = F.struct(F.get(F.col(begins), i).alias("at"), F.lit(False).alias("on"), F.array().cast(_TYPE).alias("out"))
+        start = F.struct(F.get(F.col(begins), i).alias("at"), (i * _STEP).alias("k"), F.array().cast(_TYPE).alias("out"))
         return F.aggregate(step, start, add, lambda a: a["out"])
 
     return F.transform(steps, one)
@@ -120,7 +123,7 @@ def _walked(steps: str, begins: str, kind: str, base: bool) -> Column:
 
 def base_spans(docs: DataFrame) -> DataFrame:
     t = F.col("text")
-    x = _spans(docs, [(k, BASE[k], _MAY[k](t), True) for k in KINDS])
+    x = _spans(docs, [(k, BASE[k], _MAY[k](t)) for k in KINDS])
     return x.withColumn("spans", F.filter("spans", lambda s: strict(s["kind"], s["v"])))
 
 
@@ -138,10 +141,8 @@ def _listed(spans: Column) -> Column:
 
 
 #: Features of a proposal: numbers of its format, then of its context.
-def features(s: Column, text: Column) -> list[Column]:
-    v = s["v"]
-    left = F.substring(text, F.greatest(s["start"] - AROUND, F.lit(0)) + 1, F.least(s["start"], F.lit(AROUND)))
-    right = F.substring(text, s["end"] + 1, F.lit(AROUND))
+def features(s: Column) -> list[Column]:
+    v, left, right = s["v"], s["left"], s["right"]
     d = _digits(v)
     number = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     return [
@@ -217,12 +218,28 @@ class Trees:
         return z - floor
 
 
+def _without(spans: Column, text: Column, mark) -> Column:
+    """text with mark(span) in place of each of the spans (sorted by start; one that begins inside the span
+    before it only makes that one longer)."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        longer = F.greatest(a["at"], s["end"])
+        new = F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), mark(s["kind"], s["end"] - s["start"])))
+        more = F.concat(a["out"], F.array(mark(F.lit(None).cast("string"), longer - a["at"])))
+        return F.struct(longer.alias("at"), F.when(s["start"] >= a["at"], new).otherwise(more).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda a: F.array_join(F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, F.length(text)))), ""))
+
+
 def _proposed(docs: DataFrame) -> DataFrame:
-    """Rows with base spans and proposals: spans of the further generators that aren't base spans."""
-    t = F.col("text")
-    x = base_spans(docs).withColumnRenamed("spans", "kept")
-    x = _spans(x, [(k, MORE[k], _MAY_MORE[k](t), False) for k in KINDS])
-    return x.withColumn("more", F.filter("spans", lambda s: ~F.exists("kept", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).drop("spans")
+    """Rows with base spans (kept) and proposals (more): what the further generators find in the text with
+    the base spans blotted out, so that none overlaps one of these."""
+    x = base_spans(docs).withColumnRenamed("spans", "kept").withColumnRenamed("text", "whole")
+    blot = _without(_sorted(F.col("kept")), F.col("whole"), lambda kind, n: F.repeat(F.lit("\x02"), n))
+    x = x.withColumn("text", F.when(F.size("kept") > 0, blot).otherwise(F.col("whole")))
+    x = _spans(x, [(k, MORE[k], _MAY_MORE[k](F.col("text"))) for k in KINDS])
+    return x.withColumnRenamed("spans", "more").drop("text").withColumnRenamed("whole", "text")
 
 
 def fit(docs: DataFrame) -> Trees:
@@ -232,9 +249,10 @@ def fit(docs: DataFrame) -> Trees:
     t = F.col("text")
     n = docs.count()
     some = docs.select("doc_id", "text").where(t.isNotNull() & (F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(1 << 20)) < int(min(1.0, SAMPLE_DOCS / max(n, 1)) * (1 << 20)) + 1))
-    x = _spans(some, [(k, MORE[k], _MAY_MORE[k](t), False) for k in KINDS]).where(F.size("spans") > 0).select("doc_id", "text", F.explode("spans").alias("s"))
-    f = features(F.col("s"), t)
-    y = strict(F.col("s.kind"), F.col("s.v")) & (f[9] + f[11] == 0) & ~F.substring("text", F.col("s.start"), F.when(F.col("s.start") > 0, 1).otherwise(0)).rlike("[A-Za-z]")
+    # a plain explode would have the optimiser test the number of spans below it, finding them anew for each piece
+    x = _spans(some, [(k, MORE[k], _MAY_MORE[k](t)) for k in KINDS]).select("doc_id", F.explode_outer("spans").alias("s")).where("s is not null")
+    f = features(F.col("s"))
+    y = strict(F.col("s.kind"), F.col("s.v")) & (f[9] + f[11] == 0) & ~F.col("s.left").rlike("[A-Za-z]$")
     rows = x.select("doc_id", F.array(*f).alias("f"), y.cast("int").alias("y")).limit(SAMPLE_SPANS).collect()
     if not rows:
         return Trees()
@@ -243,15 +261,21 @@ def fit(docs: DataFrame) -> Trees:
 
 
 def detect(docs: DataFrame, trees: Trees) -> DataFrame:
-    """docs (with text, never null) and kept (the base spans) and added (further spans, none of which
-    overlaps another or a base span)."""
+    """docs (with text, never null) and kept (the base spans) and added (further spans over their thresholds,
+    from the left, the best of those with one start first; none overlaps another or a base span)."""
     x = _proposed(docs)
-    rated = F.transform("more", lambda s: F.struct((-trees.margin(features(s, F.col("text")))).alias("z"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"), s["v"].alias("v")))
+    # features once, as an array; then the trees
+    seen = F.transform("more", lambda s: F.struct(s.alias("s"), F.array(*features(s)).alias("f")))
+    rated = F.transform(seen, lambda t: F.struct(t["s"]["start"].alias("start"), (-trees.margin([t["f"][j] for j in range(FEATURES)])).alias("z"), t["s"].alias("s")))
     x = x.withColumn("more", F.when(F.size("more") > 0, F.array_sort(F.filter(rated, lambda s: s["z"] <= 0))))
-    none = F.array().cast("array<struct<z:double,start:int,end:int,kind:string,base:boolean,v:string>>")
-    best = F.aggregate("more", none, lambda a, s: F.when(F.exists(a, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])), a).otherwise(F.concat(a, F.array(s))))
-    plain = F.transform(best, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"), s["v"].alias("v")))
-    return x.withColumn("added", F.coalesce(plain, F.array().cast(_TYPE))).drop("more")
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(_TYPE).alias("out"))
+
+    def add(a: Column, s: Column) -> Column:
+        span, free = s["s"], s["start"] >= a["at"]
+        return F.struct(F.when(free, span["end"]).otherwise(a["at"]).alias("at"), F.when(free, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+
+    best = F.when(F.size("more") > 0, F.aggregate("more", none, add, lambda a: a["out"]))
+    return x.withColumn("added", F.coalesce(best, F.array().cast(_TYPE))).drop("more")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -270,12 +294,6 @@ def redacted(docs: DataFrame) -> DataFrame:
     names = docs.columns
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     x = detect(held, fit(docs.select("doc_id", "text"))).withColumn("every", _sorted(F.concat("kept", "added")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        new = F.concat(a["out"], F.array(F.substring("text", a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], new).otherwise(a["out"]).alias("out"))
-
-    clean = F.aggregate("every", start, step, lambda a: F.array_join(F.concat(a["out"], F.array(F.substring("text", a["at"] + 1, F.length("text")))), ""))
+    clean = _without(F.col("every"), F.col("text"), lambda kind, n: F.coalesce(F.concat(F.lit("["), F.upper(kind), F.lit("]")), F.lit("")))
     x = x.withColumn("clean", F.when(F.size("every") > 0, clean).otherwise(F.col("_row.text")))
     return x.select(*(F.col("clean").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in names))
