@@ -157,6 +157,25 @@ def test_base_scores(spark):
     assert lm.scores(docs.limit(0), steps=1).count() == 0
 
 
+def test_sequences_of_all_training_documents_reach_the_score(spark):
+    """A passage that the network's sample lacks: its word order counts, though not its words alone."""
+    rng = np.random.default_rng(13)
+    own = [f"zu{a}{b}" for a in "bdfgk" for b in "lmnprt"]
+    rows = [(i, words(rng, "aa", 20)) for i in range(300)] + [(1000 + i, " ".join(own)) for i in range(40)]
+    held = [i for i in range(5000, 5100) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows += [(held[0], " ".join(own)), (held[1], " ".join(own[::-1]))]
+    got = {r.doc_id: r for r in lm.scores(spark.createDataFrame(rows, "doc_id long, text string"), sample=0, steps=1).collect()}
+    a, b = got[held[0]], got[held[1]]
+    assert a.held_out and b.held_out and a.n_subwords == b.n_subwords and a.base_score == pytest.approx(b.base_score)
+    assert a.score > b.score + 10
+
+
+def test_mixture_is_a_distribution():
+    net, pair, own = np.log([0.5, 0.3, 0.2]), np.array([3, 0, 1]), np.array([10, 5, 5])
+    assert np.exp(lm.mixed(net, pair, np.full(3, 4), own, 20)).sum() == pytest.approx(1)
+    assert np.exp(lm.mixed(net, pair * 0, np.zeros(3), own * 0, 0)).sum() == pytest.approx(1)
+
+
 def test_training_lowers_the_loss():
     net, rng = small_net(), np.random.default_rng(5)
     seq = net.v.local[np.tile(rng.integers(0, 20, 6), 200)]
