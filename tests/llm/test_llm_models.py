@@ -170,6 +170,21 @@ def test_sequences_of_all_training_documents_reach_the_score(spark):
     assert a.score > b.score + 10
 
 
+def test_every_id_that_occurs_has_an_output_and_context_is_long():
+    counts = np.zeros(50_000)
+    counts[:5000] = np.arange(5000, 0, -1)
+    v = lm.vocabulary(counts, 7)
+    assert len(set(v.local[:5000])) == 5000 and not (v.spelling[:5000] != 0).any() and set(v.local[5000:]) == {v.other}
+    net, rng = lm.Network(v), np.random.default_rng(8)
+    h = rng.standard_normal((2, lm.WIDTH)).astype(np.float32)
+    assert np.exp([net.logs(h, np.full(2, k)) for k in range(len(v.counts))]).sum(0) == pytest.approx(1, abs=1e-3)
+    seq = rng.integers(0, 5000, 200)
+    far = seq.copy()
+    far[32] = (far[32] + 1) % 5000
+    a, b = net.each(seq, np.array([200])), net.each(far, np.array([200]))
+    assert (np.abs(a - b)[33:65] > 0).all() and (a[:32] == b[:32]).all()
+
+
 def test_mixture_is_a_distribution():
     net, pair, own = np.log([0.5, 0.3, 0.2]), np.array([3, 0, 1]), np.array([10, 5, 5])
     assert np.exp(lm.mixed(net, pair, np.full(3, 4), own, 20)).sum() == pytest.approx(1)
