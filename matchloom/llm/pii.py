@@ -12,9 +12,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bounds of the fit: documents that it reads (about; a hash of doc_id picks them), and proposals.
+#: Bounds of the trees' fit: documents that it reads (about; a hash of doc_id picks them), and proposals (about;
+#: each kind has an equal quota, filled by a hash of the proposal's place). The thresholds are of all documents.
 SAMPLE_DOCS, SAMPLE_SPANS = 40_000, 20_000
 TREES, RATE, BINS = 30, 0.3, 16
+#: Bins of a score's unit in the histogram of the thresholds, and its bound on either side.
+SCALE, BOUND = 64, 20
 #: Share of the spans above a threshold that must pass the strict check, on the fold kept for it.
 PRECISION = 0.97
 #: Characters of context on either side of a proposal.
@@ -205,13 +208,27 @@ class Trees:
             self.floor[kind] = float(zs[ok[-1]]) if len(ok) else float("inf")
         return self
 
-    def margin(self, f: list[Column]) -> Column:
-        """How far a proposal's score is above its kind's threshold."""
+    def calibrate(self, bins: list[tuple[int, int, int, int]]) -> "Trees":
+        """Thresholds from (kind, bin, label, proposals): the lowest edge above which enough are right."""
+        for kind in self.floor:
+            own = sorted((b for b in bins if b[0] == kind), key=lambda b: -b[1])
+            self.floor[kind], right, seen = float("inf"), 0, 0
+            for i, (_, at, y, n) in enumerate(own):
+                right, seen = right + y * n, seen + n
+                if at >= 0 and right >= PRECISION * seen and (i + 1 == len(own) or own[i + 1][1] < at):
+                    self.floor[kind] = at / SCALE
+        return self
+
+    def score(self, f: list[Column]) -> Column:
         z = F.lit(self.base)
         for (j, c), sides in self.trees:
             leaf = [F.lit(v[0]) if own is None else F.when(f[own[0]] <= own[1], v[0]).otherwise(v[1]) for own, v in sides]
             z = z + F.when(f[j] <= c, leaf[0]).otherwise(leaf[1])
-        floor = F.lit(1e9)
+        return z
+
+    def margin(self, f: list[Column]) -> Column:
+        """How far a proposal's score is above its kind's threshold."""
+        z, floor = self.score(f), F.lit(1e9)
         for kind, at in self.floor.items():
             if np.isfinite(at):
                 floor = F.when(f[0] == float(kind), at).otherwise(floor)
@@ -242,22 +259,46 @@ def _proposed(docs: DataFrame) -> DataFrame:
     return x.withColumnRenamed("spans", "more").drop("text").withColumnRenamed("whole", "text")
 
 
+def _kept(s: Column) -> Column:
+    """Proposals that only the thresholds see: a third, by place, so that one document has both sorts."""
+    return F.pmod(F.xxhash64(F.lit("kept"), "doc_id", s["start"], s["kind"]), F.lit(3)) == 0
+
+
+def _label(s: Column, f: list[Column]) -> Column:
+    return (strict(s["kind"], s["v"]) & (f[9] + f[11] == 0) & ~s["left"].rlike("[A-Za-z]$")).cast("int")
+
+
 def fit(docs: DataFrame) -> Trees:
-    """Trees from a bounded sample of what the generators propose in docs (doc_id, text). The weak
+    """Trees from a bounded sample of what the generators propose in docs (doc_id, text), and thresholds
+    from the scores of a third of all that they propose. The weak
     label of a proposal is its kind's strict check (check digit, number of digits, range of the parts)
     with no letter or digit touching it."""
     t = F.col("text")
+    jobs = [(k, MORE[k], _MAY_MORE[k](t)) for k in KINDS]
     n = docs.count()
-    some = docs.select("doc_id", "text").where(t.isNotNull() & (F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(1 << 20)) < int(min(1.0, SAMPLE_DOCS / max(n, 1)) * (1 << 20)) + 1))
+    full = docs.select("doc_id", "text").where(t.isNotNull())
+    some = full.where(F.pmod(F.xxhash64(F.lit("pii"), "doc_id"), F.lit(1 << 20)) < int(min(1.0, SAMPLE_DOCS / max(n, 1)) * (1 << 20)) + 1)
     # a plain explode would have the optimiser test the number of spans below it, finding them anew for each piece
-    x = _spans(some, [(k, MORE[k], _MAY_MORE[k](t)) for k in KINDS]).select("doc_id", F.explode_outer("spans").alias("s")).where("s is not null")
-    f = features(F.col("s"))
-    y = strict(F.col("s.kind"), F.col("s.v")) & (f[9] + f[11] == 0) & ~F.col("s.left").rlike("[A-Za-z]$")
-    rows = x.select("doc_id", F.array(*f).alias("f"), y.cast("int").alias("y")).limit(SAMPLE_SPANS).collect()
+    x = _spans(some, jobs).select("doc_id", F.explode_outer("spans").alias("s")).where("s is not null")
+    s = F.col("s")
+    x = x.where(~_kept(s))
+    found = {r.kind: r["count"] for r in x.groupBy(s["kind"].alias("kind")).count().collect()}
+    share = sum((F.when(s["kind"] == k, int(min(1.0, SAMPLE_SPANS / len(KINDS) / m) * (1 << 20)) + 1).otherwise(0) for k, m in found.items()), F.lit(0))
+    x = x.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id", s["start"], s["kind"]), F.lit(1 << 20)) < share)
+    f = features(s)
+    rows = x.select(F.array(*f).alias("f"), _label(s, f).alias("y")).collect()
     if not rows:
         return Trees()
-    part = np.array([(r.doc_id or 0) % 3 == 0 for r in rows])
-    return Trees().fit(np.array([r.f for r in rows], float), np.array([r.y for r in rows], float), part)
+    trees = Trees().fit(np.array([r.f for r in rows], float), np.array([r.y for r in rows], float), np.zeros(len(rows), bool))
+    if not trees.trees:
+        return trees
+    # features once, as an array; then the trees
+    seen = F.transform(F.filter("spans", _kept), lambda s: F.struct(F.array(*(f := features(s))).alias("f"), _label(s, f).alias("y")))
+    place = lambda z: F.floor(F.greatest(F.least(z, F.lit(float(BOUND))), F.lit(-float(BOUND))) * SCALE).cast("int")
+    rated = F.transform(seen, lambda t: F.struct(t["f"][0].cast("int").alias("kind"), place(trees.score([t["f"][j] for j in range(FEATURES)])).alias("bin"), t["y"].alias("y")))
+    bins = _spans(full, jobs).select(F.explode_outer(rated).alias("b")).where("b is not null").groupBy("b").count()
+    # a row for each kind, bin and label at most
+    return trees.calibrate([(r.b.kind, r.b.bin, r.b.y, r["count"]) for r in bins.collect()])
 
 
 def detect(docs: DataFrame, trees: Trees) -> DataFrame:

@@ -206,3 +206,22 @@ def test_mix(spark):
         taken[r.doc_id] += 1
     assert all(taken[r.doc_id] * r.size == r.taken for r in rows)
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def added_phones(spark, rows):
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return sum(r.spans.count("phone:") for r in got)
+
+
+def test_kinds_are_fitted_whatever_crowds_the_proposals(spark, monkeypatch):
+    phones = [f"call ({200 + i}) 555-{1000 + 7 * i} now" for i in range(300)]
+    cards = [f"no {1000 + i} {2000 + 3 * i} {3000 + 5 * i} {4000 + 7 * i} here" for i in range(300)]
+    assert added_phones(spark, [(1, " ; ".join(phones + cards))]) == 300  # one document has all
+    monkeypatch.setattr(pii, "SAMPLE_SPANS", 400)
+    logs = [(i, " ; ".join(f"at 10.{i}.{j}.{9 if j % 2 else 999} up" for j in range(100))) for i in range(40)]
+    assert added_phones(spark, logs + [(100 + i, t) for i, t in enumerate(phones + cards)]) == 300
+
+
+def test_thresholds_from_a_histogram():
+    t = pii.Trees().calibrate([(3, 128, 1, 90), (3, 64, 1, 10), (3, 64, 0, 2), (3, 32, 0, 50), (1, 640, 0, 5)])
+    assert t.floor[3] == 1.0 and t.floor[1] == t.floor[0] == float("inf")
