@@ -16,6 +16,7 @@ from .. import shipping
 FOLDS, HELD_OUT = 3, 1
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 #: Rows of a batch that goes to Python, unless the session has its own number: texts are long.
@@ -36,9 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (local tests)."""
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset and all is one process (tests)."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="matchloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -56,12 +59,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def materialize_by(df: DataFrame, name: str, parts: int, by: str, kind: str) -> DataFrame:
     """As materialize(), as a table of `parts` buckets by one column in a folder for each value of
-    another: a later grouping by that column needs no shuffle of these rows."""
+    another: a later grouping by that column needs no shuffle of these rows. Buckets need a table; it leaves
+    the catalog with its files, when the interpreter ends."""
     spark = df.sparkSession
     key = f"matchloom_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{key}"
     df.write.format("parquet").partitionBy(kind).bucketBy(parts, by).option("path", path).saveAsTable(key)
     _written.append((spark, path))
+    _tables.append((spark, key))
     return spark.table(key)
 
 
@@ -73,6 +78,9 @@ def release(spark: SparkSession) -> None:
 
 @atexit.register
 def _clean() -> None:
+    for spark, name in _tables:
+        with contextlib.suppress(Exception):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     for spark, path in _written:
         with contextlib.suppress(Exception):  # the session may be gone; the folder is scratch space
             jvm = spark.sparkContext._jvm

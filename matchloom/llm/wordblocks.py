@@ -1,14 +1,16 @@
 """A global distinct-word exchange for whole texts.
 
-Documents are read once, in blocks of bounded size. A block keeps its documents as sequences of
-word ordinals (the positions) and sends each of its distinct words once, hashed into buckets. A
-bucket sees a word from every block that has it, so it computes the word's value (token ids, a
-count) exactly once for the whole corpus and sends it back to those blocks, where the documents
-are put together again by position. A frequent word is one entry a block however often it
-occurs, so no key is hot; nothing that grows with the corpus is broadcast or collected.
-
-Both kinds of rows are written to the shared folder once, so that a retried task can't number
-the words of a block differently from what the buckets saw.
+Documents are read once, in blocks of bounded size. A block keeps its documents packed, as ordinals
+of its distinct pieces (in order of position, or with their frequencies), and sends each distinct
+piece once, hashed into buckets. A bucket sees a piece from every block that has it, so it computes
+the piece's value (token ids, a count) exactly once for the whole corpus and sends it back to those
+blocks, where the documents are put together again. A frequent piece is one entry a block however
+often it occurs, so no key is hot; nothing that grows with the corpus is broadcast or collected.
+
+A bucket holds the pieces of about BUCKET_BYTES of input, so there are more of them the larger the
+input is; a task gets its buckets sorted and holds one at a time. Blocks and buckets are dealt out by
+number, so tasks get equal shares. Both kinds of rows are written to the shared folder once, so that a
+retried task can't number the pieces of a block differently from what the buckets saw.
 """
 
 from __future__ import annotations
@@ -16,25 +18,28 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import itertools
 import pickle
-import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize_by, shuffle_parts
 
 #: Bytes of text after which a block is closed, and after which its documents are packed.
 BLOCK_BYTES, PACK_BYTES = 24 << 20, 2 << 20
-DOCS = -1
-#: Block of the rows that hold what `told` says of a task's words.
-TOLD = ""
+#: Bytes of input for each bucket, and for each task that puts documents together.
+BUCKET_BYTES, TASK_BYTES = 8 << 20, 16 << 20
+#: Kinds of rows: packed documents, pieces for a bucket, what a block tells of itself.
+DOCS, PIECES, TOLD = 0, 1, 2
 
-Words = Callable[[bytes], list]
+#: values(pieces, counts): how many numbers each piece has, and these numbers in one array.
 Values = Callable[[list, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
@@ -71,21 +76,65 @@ def ragged(offsets: np.ndarray, lens: np.ndarray, rows: np.ndarray) -> np.ndarra
     return np.arange(total) + np.repeat(offsets[rows] - (ends - n), n)
 
 
-class _Block:
+def sums(per_word: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of the given lengths."""
+    total = np.concatenate([np.zeros(1, per_word.dtype), np.cumsum(per_word)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+def numbered() -> defaultdict:
+    """A dictionary that numbers its keys as they are first asked for."""
+    d: defaultdict = defaultdict()
+    d.default_factory = d.__len__
+    return d
+
+
+def _murmur(key: int) -> int:
+    """Spark's hash of a long column (Murmur3, 32 bits, seed 42), unsigned."""
+    m = 0xFFFFFFFF
+    h = 42
+    for k in (key & m, (key >> 32) & m):
+        k = k * 0xCC9E2D51 & m
+        k = (k << 15 | k >> 17) & m
+        h ^= k * 0x1B873593 & m
+        h = (h << 13 | h >> 19) & m
+        h = (h * 5 + 0xE6546B64) & m
+    h ^= 8
+    h = (h ^ h >> 16) * 0x85EBCA6B & m
+    h = (h ^ h >> 13) * 0xC2B2AE35 & m
+    return h ^ h >> 16
+
+
+def slot(key: int, parts: int) -> int:
+    h = _murmur(key)
+    return (h - (1 << 32) if h >> 31 else h) % parts
+
+
+def block_key(partition: int, nth: int, parts: int) -> int:
+    """The number of a task's nth block: such that the blocks of all tasks fall into the parts in turn."""
+    want = (partition + nth * (parts * 3 // 8 | 1)) % parts
+    at = ((partition << 24) + nth) << 16
+    return next(k for k in range(at, at + (1 << 16)) if slot(k, parts) == want) if parts < 1 << 12 else at
+
+
+class Block:
+    """Documents of one block. Subclasses cut a text into words, and say what is kept of a pack of documents,
+    what pieces are sent, and what is told."""
+
     def __init__(self) -> None:
-        self.id, self.ordinals, self.bytes = uuid.uuid4().hex, {}, 0
-        self.counts: list[np.ndarray] = []
+        self.words, self.bytes = numbered(), 0
         self.clear()
 
     def clear(self) -> None:
         self.ids, self.marks, self.sizes, self.lens, self.seqs, self.open = [], [], [], [], [], 0
 
-    def add(self, doc_id, mark, text: bytes, words: list) -> None:
-        known = self.ordinals
-        for w in words:
-            if w not in known:
-                known[w] = len(known)
-        self.seqs.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
+    def cut(self, text: bytes) -> list:
+        raise NotImplementedError
+
+    def add(self, doc_id, mark, text: bytes) -> None:
+        words = self.cut(text)
+        self.seqs.append(np.fromiter(map(self.words.__getitem__, words), np.uint32, len(words)))
         self.ids.append(doc_id)
         self.marks.append(mark)
         self.sizes.append(len(text))
@@ -93,55 +142,117 @@ class _Block:
         self.bytes += len(text) + 64
         self.open += len(text) + 64
 
-    def docs(self, counted: bool) -> tuple:
-        seq = np.concatenate(self.seqs) if self.seqs else np.empty(0, np.uint32)
-        if counted:
-            on = np.repeat(np.array(self.marks, bool), self.lens)
-            self.counts.append(np.bincount(seq[on], minlength=len(self.ordinals)))
-        row = (self.id, DOCS, pack((self.ids, np.array(self.marks, np.int8), np.array(self.sizes, np.int64), np.array(self.lens, np.int64), planes(seq))))
+    def head(self) -> tuple:
+        return self.ids, np.array(self.marks, np.int8), np.array(self.sizes, np.int64)
+
+    def sequence(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words a document, and the word ordinals of the open documents."""
+        return np.array(self.lens, np.int64), np.concatenate(self.seqs).astype(np.int64) if self.seqs else np.empty(0, np.int64)
+
+    def packed(self):
+        raise NotImplementedError
+
+    def pieces(self) -> tuple[list, np.ndarray]:
+        """The pieces by ordinal, and their counts."""
+        raise NotImplementedError
+
+    def told(self):
+        """What goes into the block's row of kind TOLD; None for no such row."""
+
+    def docs(self) -> tuple:
+        row = (DOCS, -1, pack(self.packed()))
         self.clear()
         return row
 
-    def words(self, buckets: int) -> Iterator[tuple]:
-        n = len(self.ordinals)
-        counts = np.zeros(n, np.int64)
-        for c in self.counts:
-            counts[: len(c)] += c
+    def rows(self, buckets: int) -> Iterator[tuple]:
+        if self.ids:
+            yield self.docs()
+        pieces, counts = self.pieces()
         by: list[tuple[list, list]] = [([], []) for _ in range(buckets)]
-        for w, k in self.ordinals.items():
+        for k, w in enumerate(pieces):
             own = by[zlib.crc32(w) % buckets]
             own[0].append(k)
             own[1].append(w)
         for b, (k, w) in enumerate(by):
             if k:
                 k = np.array(k, np.uint32)
-                yield self.id, b, pack((planes(np.diff(k, prepend=np.uint32(0))), w, counts[k]))
+                yield PIECES, b, pack((planes(np.diff(k, prepend=np.uint32(0))), w, counts[k]))
+        if (told := self.told()) is not None:
+            yield TOLD, -1, pack(told)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([int(r[1] != DOCS) for r in rows], pa.int32())], ["block", "bucket", "payload", "kind"])
+class Cut(Block):
+    """Words that are cut further into pieces, each distinct word of the block once."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.items, self.done = numbered(), 0
+        self.cut_lens, self.cut_flat = np.empty(0, np.int64), np.empty(0, np.int64)
 
-def _split(words: Words, buckets: int, counted: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block()
+    def parts(self, words: list[bytes]) -> list[list[bytes]]:
+        raise NotImplementedError
+
+    def positions(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces a document, and the piece ordinals of the open documents by position."""
+        fresh = list(itertools.islice(self.words, self.done, None))
+        self.done = len(self.words)
+        cut = self.parts(fresh)
+        lens = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = np.fromiter(map(self.items.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(lens.sum()))
+        self.cut_lens, self.cut_flat = np.concatenate([self.cut_lens, lens]), np.concatenate([self.cut_flat, flat])
+        per, seq = self.sequence()
+        offsets = np.cumsum(self.cut_lens) - self.cut_lens
+        return sums(self.cut_lens[seq], per), self.cut_flat[ragged(offsets, self.cut_lens, seq)]
 
-        def close():
-            rows = [block.docs(counted)] if block.ids else []
-            return [*rows, *block.words(buckets)]
+    def pieces(self) -> tuple[list, np.ndarray]:
+        return list(self.items), np.zeros(len(self.items), np.int64)
 
+
+class Positions(Cut):
+    """Keeps each document's pieces by position."""
+
+    def packed(self):
+        n, at = self.positions()
+        return *self.head(), n, planes(at)
+
+
+class Frequencies(Cut):
+    """Keeps each document's distinct pieces with their frequencies."""
+
+    def packed(self):
+        n, at = self.positions()
+        size = max(len(self.items), 1)
+        keys, freq = np.unique(np.repeat(np.arange(len(n)), n) * size + at, return_counts=True)
+        doc = keys // size
+        new = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.empty(0, bool)
+        step = np.where(new, keys % size, np.diff(keys, prepend=0))  # a document's ordinals ascend
+        return *self.head(), np.bincount(doc, minlength=len(n)), planes(step), planes(freq)
+
+
+_NAMES = ["block", "kind", "bucket", "payload"]
+
+
+def _batch(key: int, row: tuple) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([key], pa.int64()), pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.int32()), pa.array([row[2]], pa.binary())], _NAMES)
+
+
+def _split(make: Callable[[], Block], buckets: int, parts: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        partition, nth = task.partitionId() if task else 0, 0
+        block, key = make(), block_key(partition, 0, parts)
         for batch in batches:
             ids, texts, marks = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for i in range(batch.num_rows):  # one text at a time: a batch of long texts isn't copied whole
-                text = texts[i].as_py() or b""
-                block.add(ids[i].as_py(), marks[i], text, words(text))
+                block.add(ids[i].as_py(), marks[i], texts[i].as_py() or b"")
                 if block.open >= PACK_BYTES:
-                    yield _batch([block.docs(counted)])
-                if block.bytes >= BLOCK_BYTES:
-                    yield _batch(close())
-                    block = _Block()
+                    yield _batch(key, block.docs())
+                if block.bytes >= most:
+                    yield from (_batch(key, r) for r in block.rows(buckets))
+                    nth += 1
+                    block, key = make(), block_key(partition, nth, parts)
         if block.bytes:
-            yield _batch(close())
+            yield from (_batch(key, r) for r in block.rows(buckets))
         del block
         trim()
 
@@ -149,80 +260,89 @@ def _split(words: Words, buckets: int, counted: bool):
 
 
 def _value(values: Values, told=None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(b, p) for batch in batches for b, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        index: dict = {}
-        total = np.zeros(1024, np.int64)
-        places = []
+    def bucket(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        index, total, places = numbered(), np.zeros(1024, np.int64), []
         for _, data in rows:
-            _, ws, counts = unpack(data)
-            for w in ws:
-                if w not in index:
-                    index[w] = len(index)
-            at = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
+            _, pieces, counts = unpack(data)
+            at = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
             if len(index) > len(total):
                 total = np.concatenate([total, np.zeros(max(len(total), len(index)), np.int64)])
-            total[at] += counts  # a block has a word once
+            total[at] += counts  # a block has a piece once
             places.append(at)
-        lens, flat = values(list(index), total[: len(index)])
+        total = total[: len(index)]
+        pieces = list(index)
+        lens, flat = values(pieces, total)
         offsets = np.cumsum(lens) - lens
-        if told and index:
-            yield pa.record_batch([pa.array([TOLD], pa.string()), pa.array([pack(told(total[: len(index)], lens, flat))], pa.binary())], ["block", "payload"])
+        if told:
+            yield pa.record_batch([pa.array([-1], pa.int64()), pa.array([pack(told(pieces, total))], pa.binary())], ["block", "payload"])
         for (block, data), at in zip(rows, places):
             value = pack((unpack(data)[0], lens[at].astype(np.uint32), flat[ragged(offsets, lens, at)]))
-            yield pa.record_batch([pa.array([block], pa.string()), pa.array([value], pa.binary())], ["block", "payload"])
-        del rows, index, total, places, flat
-        trim()
-
-    return run
-
+            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([value], pa.binary())], ["block", "payload"])
 
-def _assemble(finish, names: list[str], types: list[pa.DataType]):
-    schema = pa.schema(list(zip(names, types)))
-
-    def run(docs: pa.Table, values: pa.Table) -> pa.Table:
-        parts = [(np.cumsum(unplanes(p[0]), dtype=np.int64), p[1].astype(np.int64), p[2]) for p in map(unpack, values.column("payload").to_pylist())]
-        n = sum(len(p[0]) for p in parts)
-        lens, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        start = 0
-        for k, m, flat in parts:
-            lens[k] = m
-            offsets[k] = np.cumsum(m) - m + start
-            start += len(flat)
-        flat = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.int64)
-        out = []
-        for data in docs.column("payload").to_pylist():
-            ids, marks, sizes, counts, seq = unpack(data)
-            out.append(pa.table(dict(zip(names, finish(ids, marks, sizes, counts, unplanes(seq).astype(np.int64), offsets, lens, flat)))).cast(schema))
-        del flat, lens, offsets, parts
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, last = [], None  # of one bucket: they come sorted
+        for batch in batches:
+            for b, block, payload in zip(*(batch.column(i) for i in range(3))):
+                if (now := b.as_py()) != last and rows:
+                    yield from bucket(rows)
+                    rows = []
+                last = now
+                rows.append((block.as_py(), payload.as_py()))
+        if rows:
+            yield from bucket(rows)
+        del rows
         trim()
-        return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 
 
-def exchange(docs: DataFrame, words: Words, values: Values, name: str, counted: bool = False, told=None) -> tuple[DataFrame, DataFrame]:
-    """The packed documents of docs (id, text, mark) and the word values, (block, payload) both.
-    words: the pieces of a UTF-8 text. values(words, counts): how many numbers each word has, and these
-    numbers in one array. counted: counts holds, over the whole corpus, how often a word occurs in
-    documents whose mark is 1. told(counts, lens, flat): of each task's distinct words, what is sent along
-    in a row of block TOLD. The documents stay where they were written; only words and values move."""
-    parts = shuffle_parts(docs.sparkSession)
+def gathered(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, lens, flat): a block's values by piece ordinal, of what the buckets sent."""
+    parts = [(np.cumsum(unplanes(p[0]), dtype=np.int64), p[1].astype(np.int64), p[2]) for p in map(unpack, payloads)]
+    n = sum(len(p[0]) for p in parts)
+    lens, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    start = 0
+    for k, m, flat in parts:
+        lens[k] = m
+        offsets[k] = np.cumsum(m) - m + start
+        start += len(flat)
+    return offsets, lens, np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.int64)
+
+
+def input_bytes(docs: DataFrame) -> int:
+    """About how large docs is: the optimiser's figure, or the texts' length where it has none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 60:
+        return size
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def exchange(docs: DataFrame, block: Callable[[], Block], values: Values, name: str, told=None, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The rows (block, kind, payload) of docs (id, text, mark) and the pieces' values, (block, payload).
+    told(pieces, counts): of each bucket's distinct pieces, what is sent along in a row of block -1. The
+    documents stay where they were written; only pieces and values move."""
+    size = input_bytes(docs)
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    parts = max(shuffle_parts(docs.sparkSession), -(-size // TASK_BYTES))
     read = docs.select(F.col("id").cast("long"), F.col("text").cast("binary"), F.col("mark").cast("byte"))
-    rows = materialize_by(read.mapInArrow(_split(words, parts, counted), "block string, bucket int, payload binary, kind int"), name, parts, "block", "kind")
-    spread = rows.where("kind = 1").select("bucket", "block", "payload").repartition(parts, "bucket").select("block", "payload")
-    return rows.where("kind = 0").select("block", "payload"), spread.mapInArrow(_value(values, told), "block string, payload binary")
+    rows = materialize_by(read.mapInArrow(_split(block, buckets, parts, block_bytes), "block long, kind int, bucket int, payload binary"), name, parts, "block", "kind")
+    sent = rows.where(F.col("kind") == PIECES).select("bucket", "block", "payload")
+    tasks = min(buckets, parts)
+    dealt = sent.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket")
+    return rows, dealt.mapInArrow(_value(values, told), "block long, payload binary")
 
 
-def assemble(rows: tuple[DataFrame, DataFrame], finish, schema: str, types: list[pa.DataType]) -> DataFrame:
-    """One call of finish for each pack of documents:
-    finish(ids, marks, sizes, words per document, word ordinals, offsets, lens, flat) -> columns."""
+def assemble(rows: DataFrame, values: DataFrame, finish, schema: str, types: list[pa.DataType], kinds: tuple[int, ...] = (DOCS,)) -> DataFrame:
+    """finish(payloads, values): the tables' columns, one list of them for each pack of documents of a block.
+    payloads: what the block wrote of the given kinds, as (kind, payload); values: gathered() ones."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return rows[0].groupBy("block").cogroup(rows[1].groupBy("block")).applyInArrow(_assemble(finish, names, types), schema)
+    shape = pa.schema(list(zip(names, types)))
 
+    def run(docs: pa.Table, got: pa.Table) -> pa.Table:
+        own = [(k, d) for k, d in zip(docs.column("kind").to_pylist(), docs.column("payload").to_pylist())]
+        out = [pa.table(dict(zip(names, columns))).cast(shape) for columns in finish(own, gathered(got.column("payload").to_pylist()))]
+        trim()
+        return pa.concat_tables(out) if out else shape.empty_table()
 
-def sums(per_word: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of the given lengths."""
-    total = np.concatenate([[0], np.cumsum(per_word)])
-    ends = np.cumsum(counts)
-    return total[ends] - total[ends - counts]
+    own = rows.where(F.col("kind").isin(*kinds)).select("block", "kind", "payload")
+    return own.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(run, schema)
