@@ -99,7 +99,7 @@ def _tokens_of(path: str):
 
 
 def _counted(packs, values):
-    offsets, _, flat = values
+    offsets, _, flat, _ = values
     per_piece = flat[offsets]
     for _, data in packs:
         ids, _, sizes, n, step, freq = unpack(data)
@@ -186,7 +186,7 @@ def encode_pieces(path: str):
 
 def _coded(path: str, whole: bool):
     def finish(packs, values):
-        offsets, lens, flat = values
+        offsets, lens, flat, _ = values
         table = token_bytes(path)
         for _, data in packs:
             doc_ids, _, _, n, at = unpack(data)

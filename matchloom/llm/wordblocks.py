@@ -36,6 +36,8 @@ from .common import materialize_by, shuffle_parts
 BLOCK_BYTES, PACK_BYTES = 24 << 20, 2 << 20
 #: Bytes of input for each bucket, and for each task that puts documents together.
 BUCKET_BYTES, TASK_BYTES = 8 << 20, 16 << 20
+#: Bits of a number that is sent as a piece (a hash): the buckets share them out in ranges.
+NUMBER_BITS = 56
 #: Kinds of rows: packed documents, pieces for a bucket, what a block tells of itself.
 DOCS, PIECES, TOLD = 0, 1, 2
 
@@ -68,6 +70,15 @@ def unplanes(p: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(p.T).view("<u4").reshape(-1)
 
 
+def spread(a: np.ndarray) -> np.ndarray:
+    """As planes(), of ascending unsigned 64-bit numbers, as their differences."""
+    return np.ascontiguousarray(np.diff(a, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def unspread(p: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(p.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
 def ragged(offsets: np.ndarray, lens: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Indices into flat values of the given rows, one after the other."""
     n = lens[rows]
@@ -156,6 +167,10 @@ class Block:
         """The pieces by ordinal, and their counts."""
         raise NotImplementedError
 
+    def numbers(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """Further pieces, which are distinct ascending numbers of NUMBER_BITS, and their counts; their values are the
+        corpus' counts."""
+
     def told(self):
         """What goes into the block's row of kind TOLD; None for no such row."""
 
@@ -173,10 +188,13 @@ class Block:
             own = by[zlib.crc32(w) % buckets]
             own[0].append(k)
             own[1].append(w)
+        numbers, n = self.numbers() or (np.empty(0, np.uint64), np.empty(0, np.int64))
+        edges = np.searchsorted(numbers, np.array([(b << NUMBER_BITS) // buckets for b in range(buckets)] + [1 << 63], np.uint64))
         for b, (k, w) in enumerate(by):
-            if k:
+            own = slice(edges[b], edges[b + 1])
+            if k or own.start < own.stop:
                 k = np.array(k, np.uint32)
-                yield PIECES, b, pack((planes(np.diff(k, prepend=np.uint32(0))), w, counts[k]))
+                yield PIECES, b, pack((planes(np.diff(k, prepend=np.uint32(0))), w, counts[k], spread(numbers[own]), n[own].astype(np.uint32)))
         if (told := self.told()) is not None:
             yield TOLD, -1, pack(told)
 
@@ -260,10 +278,12 @@ def _split(make: Callable[[], Block], buckets: int, parts: int, most: int):
 
 
 def _value(values: Values, told=None):
-    def bucket(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        index, total, places = numbered(), np.zeros(1024, np.int64), []
+    def bucket(rows: list[tuple[int, bytes]], place: int) -> Iterator[pa.RecordBatch]:
+        index, total, places, numbers, many = numbered(), np.zeros(1024, np.int64), [], [], []
         for _, data in rows:
-            _, pieces, counts = unpack(data)
+            _, pieces, counts, own, n = unpack(data)
+            numbers.append(unspread(own))
+            many.append(n)
             at = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
             if len(index) > len(total):
                 total = np.concatenate([total, np.zeros(max(len(total), len(index)), np.int64)])
@@ -275,8 +295,12 @@ def _value(values: Values, told=None):
         offsets = np.cumsum(lens) - lens
         if told:
             yield pa.record_batch([pa.array([-1], pa.int64()), pa.array([pack(told(pieces, total))], pa.binary())], ["block", "payload"])
-        for (block, data), at in zip(rows, places):
-            value = pack((unpack(data)[0], lens[at].astype(np.uint32), flat[ragged(offsets, lens, at)]))
+        ends = np.cumsum([len(x) for x in numbers])
+        _, at = np.unique(np.concatenate(numbers), return_inverse=True)
+        many = np.bincount(at, np.concatenate(many))[at].astype(np.int64) if len(at) else np.empty(0, np.int64)
+        del numbers
+        for (block, data), at, end, n in zip(rows, places, ends, np.diff(ends, prepend=0)):
+            value = pack((unpack(data)[0], lens[at].astype(np.uint32), flat[ragged(offsets, lens, at)], place, many[end - n : end]))
             yield pa.record_batch([pa.array([block], pa.int64()), pa.array([value], pa.binary())], ["block", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,21 +308,22 @@ def _value(values: Values, told=None):
         for batch in batches:
             for b, block, payload in zip(*(batch.column(i) for i in range(3))):
                 if (now := b.as_py()) != last and rows:
-                    yield from bucket(rows)
+                    yield from bucket(rows, last)
                     rows = []
                 last = now
                 rows.append((block.as_py(), payload.as_py()))
         if rows:
-            yield from bucket(rows)
+            yield from bucket(rows, last)
         del rows
         trim()
 
     return run
 
 
-def gathered(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, lens, flat): a block's values by piece ordinal, of what the buckets sent."""
-    parts = [(np.cumsum(unplanes(p[0]), dtype=np.int64), p[1].astype(np.int64), p[2]) for p in map(unpack, payloads)]
+def gathered(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, lens, flat): a block's values by piece ordinal, of what the buckets sent; and those of its numbers, in order."""
+    rows = sorted(map(unpack, payloads), key=lambda p: p[3])
+    parts = [(np.cumsum(unplanes(p[0]), dtype=np.int64), p[1].astype(np.int64), p[2]) for p in rows]
     n = sum(len(p[0]) for p in parts)
     lens, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
     start = 0
@@ -306,7 +331,8 @@ def gathered(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         lens[k] = m
         offsets[k] = np.cumsum(m) - m + start
         start += len(flat)
-    return offsets, lens, np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.int64)
+    one = lambda some: np.concatenate(some) if some else np.empty(0, np.int64)
+    return offsets, lens, one([p[2] for p in parts]), one([p[4] for p in rows])
 
 
 def input_bytes(docs: DataFrame) -> int:
