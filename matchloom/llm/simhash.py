@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import materialize
 from .components import components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
-#: The grid's segments: 16 of 4 bits. A count is 0 to 4; kept in 3 bits, one up, so that -1 and 5 fit.
-SEGMENTS, WIDTH = 16, 4
-#: Fingerprints in a cell up to which its pairs are compared; beyond, one-bit variants link them exactly.
+#: Bits of a segment, of the grid and of those that refine its crowded cells: a cell is a count of ones by segment.
+WIDTHS = (4, 2, 1)
+#: Fingerprints in a cell up to which its pairs are verified one by one; the others meet in the next finer grid.
 CROWD = 32
 
 
@@ -37,53 +38,71 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([b.column(0), pa.array([fingerprint(x.as_py() or b"") for x in b.column(1)], pa.int64())], ["doc_id", "fp"])
 
 
-def _cells(fp):
-    """The fingerprint's cell and the 32 cells one step away. Bits that differ in d places move the
-    bit counts by a Manhattan distance of d at most, so fingerprints within 2 bits are at most 2 steps
-    apart, and the cells one step around either share one."""
-    own = sum((F.shiftleft(F.bit_count(F.shiftrightunsigned(fp, WIDTH * i).bitwiseAND(F.lit(2**WIDTH - 1))).cast("long") + 1, 3 * i) for i in range(1, SEGMENTS)), (F.bit_count(fp.bitwiseAND(F.lit(2**WIDTH - 1))) + 1).cast("long"))
-    return F.array(F.lit(0).cast("long"), *(F.lit(s << (3 * i)).cast("long") for i in range(SEGMENTS) for s in (1, -1))), own
+def _cells(fp: Column, width: int) -> Column:
+    """The fingerprint's cell and those one step away, as numbers of 64 bits. Bits that differ in d places move
+    the bit counts by a Manhattan distance of d at most, so fingerprints within 2 bits are at most 2 steps
+    apart, and the cells one step around either share one. With segments of one bit a count is the bit, and
+    the distance is that of the fingerprints."""
+    bits = width.bit_length()  # counts are 0 to width
+    each = 64 // width if bits == 1 else 16  # segments a number
+    part = lambda i: F.bit_count(F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit(2**width - 1))).cast("long")
+    counts = [part(i) for i in range(64 // width)] if width > 1 else [F.shiftrightunsigned(fp, i).bitwiseAND(F.lit(1)) for i in range(64)]
+    own = [reduce(Column.bitwiseOR, (F.shiftleft(c, bits * i) for i, c in enumerate(counts[k : k + each]))) for k in range(0, len(counts), each)]
+    cells = [F.struct(*(c.alias(f"c{j}") for j, c in enumerate(own)))]
+    for i, c in enumerate(counts):
+        for there, ok in ((c + 1, c < width), (c - 1, c > 0)):
+            moved = own[i // each].bitwiseXOR(F.shiftleft(c.bitwiseXOR(there), bits * (i % each)))
+            cells.append(F.when(ok, F.struct(*((moved if j == i // each else o).alias(f"c{j}") for j, o in enumerate(own)))))
+    return F.filter(F.array(*cells), lambda x: x.isNotNull())
 
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of fps' distinct fingerprints at 2 or fewer bits, enough of them that
-    every such pair is connected."""
-    steps, own = _cells(F.col("fp"))
-    placed = fps.select("fp", own.alias("own")).select("fp", F.explode(steps).alias("step"), "own").select("fp", (F.col("own") + F.col("step")).alias("cell"))
-    shared = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    near = materialize(placed.join(shared, "cell"), "op4-cells")
-    few = near.where(F.col("n") <= CROWD)
-    a, b = few.select("cell", F.col("fp").alias("a")), few.select("cell", F.col("fp").alias("b"))
-    pairs = a.join(b, (a["cell"] == b["cell"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)).select("a", "b")
-    # Two fingerprints are within 2 bits exactly if some word is within one bit of both; at most 65 are within one bit of a word.
-    flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)))
-    many = near.where(F.col("n") > CROWD).select("fp").distinct().select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
-    least = many.groupBy("word").agg(F.min("fp").alias("a"), F.count("*").alias("k")).where("k > 1")
-    stars = many.join(least, "word").where("a < fp").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(stars).distinct()
-
-
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of each row of docs, and (fp, root, component_id) of each fingerprint: root is the
+    every such pair is connected. Pairs that share a cell are verified; those of a crowded cell meet again in
+    a finer grid, whose Manhattan distances are closer to the bits'. In the finest the members of a cell
+    are within one bit of it, so they are linked to the least of them, and no pairs are made."""
+    found, members = [], fps.select("fp")
+    for width in WIDTHS:
+        placed = members.select("fp", F.explode(_cells(F.col("fp"), width)).alias("cell"))
+        if width == 1:
+            least = placed.groupBy("cell").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
+            found.append(placed.join(least, "cell").where("a < fp").select("a", F.col("fp").alias("b")))
+            break
+        shared = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+        near = materialize(placed.join(shared, "cell"), f"op4-cells{width}")
+        few = near.where(F.col("n") <= CROWD)
+        a, b = few.select("cell", F.col("fp").alias("a")), few.select("cell", F.col("fp").alias("b"))
+        found.append(a.join(b, (a["cell"] == b["cell"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)).select("a", "b"))
+        members = near.where(F.col("n") > CROWD).select("fp").distinct()
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp) of each row of docs."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(_fingerprints, "doc_id long, fp long")
+
+
+def classes(own: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of each fingerprint of own (doc_id, fp): root is the
     same for all fingerprints of a component, component_id the smallest doc_id of its rows."""
-    own = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(_fingerprints, "doc_id long, fp long"), "op4-fp")
     fps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "op4-distinct")
     roots = materialize(components(links(fps)), "op4-roots")
     named = roots.join(fps, roots["node"] == fps["fp"]).select("node", "root", "least")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = named.join(ids, "root").select(F.col("node").alias("fp"), "root", "component_id")
     to = fps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return own, materialize(to, "op4-classes")  # read plainly by the joins, so that Spark can split a hot fingerprint
+    return materialize(to, "op4-classes")  # read plainly by the joins, so that Spark can split a hot fingerprint
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row of docs (doc_id, text; more
     columns are ignored). Null and empty texts, and texts without words, have fingerprint zero
     and are linked like any other. Repeated rows fall together; the smallest doc_id of those that
-    aren't null names a component. Only distinct fingerprints are compared, so copies, however many,
+    aren't null names a component; a null one if all are null. An empty table gives none, and a text may be
+    as long as a binary value can be. Only distinct fingerprints are compared, so copies, however many,
     cost nothing beyond their own fingerprint."""
-    own, to = classes(docs)
-    return own.join(to, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    own = materialize(fingerprints(docs), "op4-fp")
+    return own.join(classes(own), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,12 +112,13 @@ def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of docs for each component, with docs' own columns: one with the smallest doc_id (a null
-    one only if all are)."""
-    own, to = classes(docs)
-    first = own.join(to, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("m")).select(F.col("m.doc_id").alias("id"), F.col("m.fp").alias("own"))
+    one only if all are; of rows equal in id and fingerprint, one by a hash of the row). Null, empty and very long
+    texts are as in near_duplicates(); an empty table gives no rows."""
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     rows = held.mapInArrow(_carried, T.StructType([held.schema["_row"], T.StructField("fp", T.LongType())]))
-    rows = rows.withColumn("doc_id", F.col("_row.doc_id").cast("long"))
+    rows = materialize(rows.withColumn("doc_id", F.col("_row.doc_id").cast("long")), "op4-rows")
+    own = rows.select("doc_id", "fp")
+    first = own.join(classes(own), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("m")).select(F.col("m.doc_id").alias("id"), F.col("m.fp").alias("own"))
     kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("own")), "left_semi")
     once = Window.partitionBy("doc_id", "fp").orderBy(F.xxhash64("_row"))
     return kept.withColumn("n", F.row_number().over(once)).where("n = 1").select("_row.*")
