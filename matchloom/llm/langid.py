@@ -9,6 +9,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,10 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import held_out
+from .common import held_out, materialize
 
-#: Bounds of the fit: labelled documents it reads (a hash of doc_id picks them), and n-grams it keeps.
-SAMPLE, GRAMS = 20_000, 100_000
+#: Bounds of the fit: labelled documents it reads (each language has an equal quota, which a hash of doc_id fills),
+#: and n-grams it keeps of each language.
+SAMPLE, GRAMS = 20_000, 40_000
 #: What a switch of language costs, in the words' score units.
 SWITCH = 4.0
 #: A language uses a script if at least this share of its letters is in it.
@@ -28,13 +30,23 @@ USES = 0.02
 #: Words whose scores a task remembers, and words times languages that one Viterbi run holds.
 CACHE, CELLS = 250_000, 3_000_000
 UND = "und"
-WORDS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
+#: Numerals that the pattern takes for letters (categories Nl and No): of the first plane, whose set is quick, and all.
+_SMALL, _NUMERALS = (re.compile(f"[{''.join(chr(c) for c in range(end) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal())}]") for end in (0x10000, sys.maxunicode + 1))
 
 # Where the ranges of scripts begin (Unicode blocks), and their names; "" is other.
 _SCRIPTS = ((0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, ""), (0x900, "devanagari"), (0x980, "bengali"), (0xA00, ""), (0xE00, "thai"), (0xE80, ""), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, ""), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, ""), (0x3040, "kana"), (0x3100, ""), (0x3400, "han"), (0xA000, ""), (0xAC00, "hangul"), (0xD7B0, ""), (0xF900, "han"), (0xFB00, ""))
 _STARTS = [a for a, _ in _SCRIPTS]
 
 
+def letters(text: str) -> list[str]:
+    """The runs of letters (categories L) of a text in lower case."""
+    text = text.lower()
+    if not text.isascii():
+        text = (_SMALL if max(text) < "\U00010000" else _NUMERALS).sub(" ", text)
+    return _WORDS.findall(text)
+
+
 def script(word: str) -> str:
     return _SCRIPTS[bisect.bisect(_STARTS, ord(word[0])) - 1][1]
 
@@ -57,7 +69,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str, Counter] = {}
     for b in batches:
         for text, lang in zip(b.column(0), b.column(1).to_pylist()):
-            words.setdefault(lang, Counter()).update(WORDS.findall((text.as_py() or "").lower()))
+            words.setdefault(lang, Counter()).update(letters(text.as_py() or ""))
     for lang, c in words.items():
         g: Counter = Counter()
         for w, n in c.items():
@@ -67,14 +79,35 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([lang] * len(g), pa.string()), pa.array(list(g), pa.string()), pa.array(list(g.values()), pa.int64())], ["lang", "gram", "n"])
 
 
+def cuts(hist: list[tuple[str, int, int]], keep: int) -> dict[str, int]:
+    """Of each language the count above which no more than `keep` n-grams lie, from (language, count, n-grams)."""
+    out: dict[str, int] = {}
+    held: Counter = Counter()
+    for lang, n, grams_of in sorted(hist, key=lambda h: -h[1]):
+        held[lang] += grams_of
+        if held[lang] > keep:
+            out.setdefault(lang, n)
+    return out
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, keep: int = GRAMS) -> Model | None:
     """A model of the languages of docs (doc_id, text, lang); None if no row has a language.
-    At most about `sample` documents are read, at most `keep` n-gram counts come to the driver."""
+    At most about `sample` documents are read, an equal share of each language's; a language with fewer has all of its
+    own read. Of each language the `keep` commonest n-grams are kept (less those that tie with the first that is
+    left out), with their counts in all languages."""
     known = docs.where("lang is not null and text is not null")
-    n = known.count()
-    if n > sample:
-        known = known.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
-    got = known.select("text", "lang").mapInArrow(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(keep).toArrow()
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
+    if not sizes:
+        return None
+    quota = max(1, sample // len(sizes))
+    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, quota / n) * (1 << 20)) + 1)))
+    known = known.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")))
+    counts = materialize(known.select("text", "lang").mapInArrow(_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "op8-grams")
+    script_row = F.col("gram").startswith("#")
+    cut = cuts([(r.lang, r.n, r["count"]) for r in counts.where(~script_row).groupBy("lang", "n").count().collect()], keep)
+    over = F.element_at(F.create_map(*(F.lit(x) for lang in sizes for x in (lang, cut.get(lang, 0)))), F.col("lang"))
+    some = counts.where(script_row | (F.col("n") > over)).select("gram").distinct()
+    got = counts.join(some, "gram", "left_semi").select("lang", "gram", "n").orderBy(F.desc("n"), "lang", "gram").toArrow()
     got = list(zip(*(got.column(c).to_pylist() for c in ("lang", "gram", "n"))))
     langs = sorted({lang for lang, _, _ in got})
     if not langs:
@@ -189,7 +222,7 @@ def _labels(m: Model, switch: float, carried: bool):
             since = 0  # rows of the batch that are already out
             own = b.column(0)
             for i, t in enumerate(own.field("text") if carried else b.column(1)):
-                words = WORDS.findall((t.as_py() or "").lower())
+                words = letters(t.as_py() or "")
                 for w in words:
                     if w not in cache:
                         cache[w] = len(cache)
@@ -210,8 +243,9 @@ def _labels(m: Model, switch: float, carried: bool):
 
 def detect(docs: DataFrame, model: Model | None, kept: Column | None = None, switch: float = SWITCH) -> DataFrame:
     """kept (doc_id, or a struct with text among its fields), lang_pred, score, spans (language, first word, words) of each
-    row of docs (doc_id, text). A null text, or one without letters, is `und` with score 0 and no
-    spans; without a model every text is. score: the share of the letters in the language's
+    row of docs (doc_id, text). A null text, or one without letters (Unicode's L), is `und` with score 0 and no
+    spans; without a model every text is. A repeated row comes back as often, an empty table gives none, and a text may
+    be as long as a string can be. score: the share of the letters in the language's
     spans times how much likelier it is for the whole text than the next one."""
     own = docs.select(F.col("doc_id").cast("long").alias("kept"), F.col("text").alias("_text")) if kept is None else docs.select(kept.alias("kept"))
     spans = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType())]))
@@ -227,7 +261,8 @@ def fit_unheld(docs: DataFrame) -> Model | None:
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, spans of each row of docs (more columns are ignored); see detect()."""
+    """doc_id, held_out, lang_pred, score, spans of each row of docs (more columns are ignored); see detect() for nulls,
+    empty and long texts, repeated rows and empty tables."""
     got = detect(docs, fit_unheld(docs)).withColumnRenamed("kept", "doc_id")
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
 

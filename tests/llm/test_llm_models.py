@@ -41,6 +41,42 @@ def test_language(spark):
     assert langid.languages(docs.limit(0)).count() == 0
 
 
+def test_texts_without_letters_are_in_no_language(spark):
+    docs = languages(spark).unionByName(spark.createDataFrame([(3000 + i, t, None, 1.0, "s") for i, t in enumerate(["½ ² ①", "Ⅷ", "12³", "𐄇 𒐀", "_ ٣"])], "doc_id long, text string, lang string, score double, spans string"))
+    assert {r.lang_pred for r in langid.languages(docs).where("doc_id >= 3000").collect()} == {"und"}
+    assert langid.letters("a½b Ⅷ é1x") == ["a", "b", "é", "x"]
+
+
+def test_small_languages_keep_their_n_grams(spark):
+    assert langid.cuts([("a", 5, 3), ("a", 4, 2), ("a", 1, 90), ("b", 1, 4)], 5) == {"a": 1}
+    rng = np.random.default_rng(6)
+    rows = [(i, words(rng, "aa" if i % 2 else "bb", 30), "aa" if i % 2 else "bb") for i in range(600)] + [(1000 + i, words(rng, "cc", 30), "cc") for i in range(6)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=60, keep=100)
+    assert m.langs == ["aa", "bb", "cc"] and sum(langid.script(g[1:] if g[0] == "^" else g) == "cyrillic" for g in m.rows if g.strip("^$")) >= 60
+
+
+def test_predictions_are_those_of_the_plain_sums(spark):
+    """Word scores and labels of short texts against a brute-force version."""
+    docs = languages(spark)
+    m = langid.fit_unheld(docs)
+    for r in langid.detect(docs.where("doc_id < 40"), m).join(docs.withColumnRenamed("doc_id", "kept").select("kept", "text"), "kept").collect():
+        own = [[sum(m.table[m.rows.get(g, 0), k] for g in langid.grams(w)) / 3 + m.scripts.get(langid.script(w), np.zeros(9))[k] for k in range(len(m.langs))] for w in langid.letters(r.text)]
+        best = max(range(len(m.langs)), key=lambda k: sum(x[k] for x in own))
+        if len(r.spans) == 1:
+            assert r.lang_pred == r.spans[0].lang == m.langs[best]
+
+
+def test_very_long_texts(spark):
+    rows = [(i, words(np.random.default_rng(i), "aa" if i % 2 else "bb", 30), "aa" if i % 2 else "bb") for i in range(60)]
+    long = [(70, "ka lo " * 300_000, None), (71, "öst" * 300_000, None)]
+    docs = spark.createDataFrame(rows + long, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in langid.languages(docs).where("doc_id >= 70").collect()} == {70: "aa", 71: "bb"}
+    got = {r.doc_id: r for r in lm.scores(docs, sample=20, steps=3).where("doc_id >= 70").collect()}
+    assert got[70].n_tokens == 600_001 and got[71].n_tokens == 2 and all(math.isfinite(r.score) for r in got.values())
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert all(0 <= r.score <= 1 for r in toxicity.toxicity(docs, labels).where("doc_id >= 70").collect())
+
+
 def test_viterbi_is_the_best_path():
     rng, lens = np.random.default_rng(2), np.array([3, 0, 7, 1, 5])
     s = rng.standard_normal((16, 3)).astype(np.float32) * 3

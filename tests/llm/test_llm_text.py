@@ -75,6 +75,26 @@ def test_crowded_cells_lose_no_link(spark):
     assert all(got.get(v, v) == r for v, r in up.items())
 
 
+def test_a_crowd_of_near_copies_loses_no_link(spark):
+    """So many within few bits of one fingerprint that cells of every grid are crowded."""
+    rng, values = np.random.default_rng(8), {0x1234567890ABCDEF}
+    for _ in range(1500):
+        x = 0x1234567890ABCDEF
+        for k in rng.choice(12, int(rng.integers(0, 6)), replace=False):
+            x ^= 1 << int(k) * 5
+        values.add(x)
+    up = roots(values, lambda a, b: (a ^ b).bit_count() <= 2)
+    got = {r.node: r.root for r in components.components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))).collect()}
+    assert len(values) > 500 and all(got.get(v, v) == r for v, r in up.items())
+
+
+def test_very_long_texts(spark):
+    texts = [" ".join(f"w{i % 5000}" for i in range(400_000)), "y" * 3_000_000, "\n" * 2_000_000]
+    docs = table(spark, texts)
+    assert {r.doc_id: r.fingerprint for r in simhash.near_duplicates(docs).collect()} == {i: f"{plain_fingerprint(t):016x}" for i, t in enumerate(texts)}
+    assert {r.doc_id: r.size for r in mixing.mix(docs).collect()} == {0: 400_000, 1: 1, 2: 0}
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(e).collect()}
@@ -159,6 +179,13 @@ def test_long_runs_stay_cheap(spark):
     assert time.time() - began < 60
 
 
+def test_hosts_of_any_length(spark):
+    texts = ["x@" + ".".join(["a"] * 2_500) + " y", "x@" + ".".join(["b-"] * 200_000), "x@" + "a." * 3_000 + ".b@c.d", "q@z@" + "k.w" * 2_100 + "."]
+    for r in pii.personal_data(table(spark, texts)).collect():
+        want = ",".join(f"{k}:{a}:{b}" for a, _, b, k in base_spans(texts[r.doc_id]))
+        assert want and r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_added_spans(spark):
     rng = np.random.default_rng(5)
 
