@@ -7,21 +7,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize
+from .common import materialize, shuffle_parts
 
-#: Bounds of the fit: numbers (vectors times dimension) of the sample that trains the index, and lists.
-SAMPLE, LISTS = 1 << 21, 1024
+#: Bounds of the fit: numbers (vectors times dimension) of the sample that trains the index, and lists. There are
+#: DENSE times the square root of the vectors' number of them, so that they hold few vectors and prune more.
+SAMPLE, LISTS, DENSE = 1 << 22, 16_384, 8
 #: Dimensions of a subspace, and its codewords.
 SUB, WORDS, ROUNDS = 4, 256, 8
-#: Rows of a shard (some lists, or a part of a large one), and queries that meet them in one call.
-CHUNK, QUERIES = 8192, 2048
-#: Share of the lists a query looks into (at least PROBES), and rows of a shard that it reranks exactly.
-#: Vectors without much structure have neighbours in most lists: less than this costs recall there.
-PROBE, PROBES, RERANK = 0.85, 16, 200
+#: Rows of a shard (some lists, or a part of a large one), least and most; queries that meet them in one call.
+CHUNKS, QUERIES = (512, 8192), 128
+#: Share of its neighbours in the sample that a sampled query must find in the lists it looks into (this tells
+#: how many lists these are), how many such queries, and rows of a shard that a query reranks exactly.
+FOUND, TRIED, RERANK = 0.93, 512, 100
 
 
 @dataclass
@@ -70,12 +70,30 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUNDS
     return c
 
 
-def fit(sample: np.ndarray, total: int, lists: int | None = None, seed: int = 7) -> Index:
-    """An index trained on sample, for about total distinct vectors."""
+def probes_for(sample: np.ndarray, centroids: np.ndarray, k: int, rng: np.random.Generator) -> int:
+    """How many lists a query must look into, by inner product with their centroids, to find FOUND of its k nearest
+    in the sample. The sample's neighbours are farther than those among all vectors, so this errs on the safe side."""
+    tried = rng.permutation(len(sample))[:TRIED]
+    at, q = nearest(sample, centroids), sample[tried]
+    near = q @ sample.T
+    near[np.arange(len(q)), tried] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return len(centroids)
+    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    order = np.argsort(-(q @ centroids.T), axis=1, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(order.shape[1])[None], 1)
+    needed = np.sort(np.take_along_axis(rank, at[top], 1).reshape(-1))
+    return int(needed[min(len(needed) - 1, int(FOUND * len(needed)))]) + 1
+
+
+def fit(sample: np.ndarray, total: int, lists: int | None = None, k: int = 20, seed: int = 7) -> Index:
+    """An index trained on sample, for about total distinct vectors and queries for k neighbours."""
     rng = np.random.default_rng(seed)
-    k = max(1, min(lists or min(LISTS, round(total**0.5)), len(sample)))
-    c = kmeans(sample, k, rng)
-    index = Index(c, np.zeros((-(-sample.shape[1] // SUB), 1, SUB), np.float32), min(len(c), max(PROBES, round(PROBE * len(c)))))
+    n = max(1, min(lists or min(LISTS, round(DENSE * total**0.5)), len(sample) // 2))
+    c = kmeans(sample, n, rng)
+    index = Index(c, np.zeros((-(-sample.shape[1] // SUB), 1, SUB), np.float32), probes_for(sample, c, k, rng))
     r = index.pad(sample - c[nearest(sample, c)])
     books = [kmeans(r[:, SUB * s : SUB * s + SUB], WORDS, rng) for s in range(r.shape[1] // SUB)]
     most = max(map(len, books))
@@ -99,51 +117,78 @@ def _encoded(index: Index, dim: int):
 
 def _asking(index: Index, dim: int, first: np.ndarray, chunks: np.ndarray):
     """Each query and the shards that hold the lists it looks into."""
+    lists = np.repeat(np.arange(len(first)), chunks)
+    shard = np.repeat(first, chunks) + np.arange(len(lists)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+    order = np.argsort(shard, kind="stable")
+    names, starts = np.unique(shard[order], return_index=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                shards = [np.unique(np.concatenate([np.arange(first[k], first[k] + chunks[k]) for k in np.flatnonzero(on)])).astype(np.int32) for on in index.looks(_vectors(b.column(1), dim))]
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(shards, pa.list_(pa.int32()))], ["q", "qv", "shards"])
+                on = np.logical_or.reduceat(index.looks(_vectors(b.column(1), dim))[:, lists[order]], starts, axis=1)
+                yield pa.record_batch([b.column(0), b.column(1), pa.array([names[x].astype(np.int32) for x in on], pa.list_(pa.int32()))], ["q", "v", "shards"])
 
     return run
 
 
-def _search(index: Index, keep: int, rerank: int):
-    def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+def _search(index: Index, dim: int, keep: int, rerank: int):
+    """Shard after shard: its rows come first and are held, then the queries that ask it, a batch at a time."""
+
+    def held(parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        ids = rows.column("ids").chunk(0)
+        order = np.argsort([i[0] for i in ids.to_pylist()], kind="stable")  # ties go to the smaller id
+        v = np.asarray(rows.column("v").chunk(0).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(order), -1)
+        return v[order], ids.take(pa.array(order)), rows.column("list").to_numpy()[order], codes[order]
+
+    def found(own, queries: pa.RecordBatch) -> pa.RecordBatch:
+        x, ids, at, codes = own
+        names = queries.column(1).to_pylist()
+        q = np.asarray(queries.column(4).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+        single = q.astype(np.float32)
+        near, t = (single @ index.centroids.T)[:, at], index.tables(single)
+        for s in range(codes.shape[1]):
+            near += t[:, s][:, codes[:, s]]
+        near[~index.looks(single)[:, at]] = -np.inf
+        n = min(rerank, near.shape[1])
+        top = np.sort(np.argpartition(-near, n - 1, axis=1)[:, :n], axis=1)
+        exact = np.stack([(x[rows_of] * q[j]).sum(1) for j, rows_of in enumerate(top)])
+        exact[np.isneginf(np.take_along_axis(near, top, 1))] = -np.inf
         out = []
-        if len(rows) and len(queries):
-            rows = rows.assign(first=[i[0] for i in rows["ids"]]).sort_values("first")  # ties go to the smaller id
-            x, ids, at = np.stack(rows["v"].to_numpy()), rows["ids"].to_numpy(), rows["list"].to_numpy()
-            codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-            for i in range(0, len(queries), 128):
-                names, q = queries["q"].to_numpy()[i : i + 128], np.stack(queries["qv"].to_numpy()[i : i + 128])
-                single = q.astype(np.float32)
-                near, t = (single @ index.centroids.T)[:, at], index.tables(single)
-                for s in range(codes.shape[1]):
-                    near += t[:, s][:, codes[:, s]]
-                near[~index.looks(single)[:, at]] = -np.inf
-                n = min(rerank, near.shape[1])
-                top = np.sort(np.argpartition(-near, n - 1, axis=1)[:, :n], axis=1)
-                exact = np.stack([(x[rows_of] * q[j]).sum(1) for j, rows_of in enumerate(top)])
-                exact[np.isneginf(np.take_along_axis(near, top, 1))] = -np.inf
-                order = np.argsort(-exact, axis=1, kind="stable")[:, :keep]
-                for j, o in enumerate(order):
-                    o = o[np.isfinite(exact[j, o])]
-                    out.append((names[j], exact[j, o], [ids[r] for r in top[j, o]]))
-        return pd.DataFrame({"q": [o[0] for o in out], "scores": [o[1] for o in out], "ids": [o[2] for o in out]})
+        for j, o in enumerate(np.argsort(-exact, axis=1, kind="stable")[:, :keep]):
+            o = o[np.isfinite(exact[j, o])]
+            out.append((names[j], exact[j, o], ids.take(pa.array(top[j, o])).to_pylist()))
+        return pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.float64())), pa.array([o[2] for o in out], pa.list_(pa.list_(pa.int64())))], ["q", "scores", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, own = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s, asks = b.column(0).to_numpy(), b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero((s[1:] != s[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, e in zip([0, *cut], [*cut, len(s)]):
+                if s[a] != shard:
+                    shard, parts, own = s[a], [], None
+                if not asks[a]:
+                    parts.append(b.slice(a, e - a))
+                elif parts:
+                    own = own or held(parts)
+                    for i in range(a, e, QUERIES):
+                        yield found(own, b.slice(i, min(QUERIES, e - i)))
 
     return run
 
 
-def shards(sizes: dict[int, int], lists: int) -> tuple[np.ndarray, np.ndarray]:
+def shards(sizes: dict[int, int], lists: int, chunk: int) -> tuple[np.ndarray, np.ndarray]:
     """Each list's first shard and how many it has: small lists share one, large ones are dealt out."""
     first, chunks, held, k = np.zeros(lists, np.int64), np.ones(lists, np.int64), 0, 0
     for i in range(lists):
         n = sizes.get(i, 0)
-        if held and held + n > CHUNK:
+        if held and held + n > chunk:
             k, held = k + 1, 0
-        first[i], chunks[i] = k, max(1, -(-n // CHUNK))
+        first[i], chunks[i] = k, max(1, -(-n // chunk))
         if chunks[i] > 1:
             k, held = k + int(chunks[i]), 0
         else:
@@ -178,20 +223,23 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None =
     total = one.count()
     share = min(1.0, SAMPLE / dim / total)
     sample = one.where(F.pmod(F.xxhash64(F.lit("ann"), F.get("ids", F.lit(0))), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").toArrow().column(0).combine_chunks()
-    index = fit(_vectors(sample, dim), total, lists)
+    index = fit(_vectors(sample, dim), total, lists, k)
     if probes:
         index.probes = min(probes, len(index.centroids))
     listed = materialize(one.mapInArrow(_encoded(index, dim), "list int, ids array<long>, v array<double>, code binary"), "op1-index")
     asked = own.where(F.col("vec_id") % every == 0)
     query = materialize(asked.groupBy("v").agg(F.min("vec_id").alias("q")).select("q", "v"), "op1-queries")
     # a row a list, so LISTS at most
-    first, chunks = shards({r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}, len(index.centroids))
+    chunk = min(max(total // (2 * shuffle_parts(spark)), CHUNKS[0]), CHUNKS[1])
+    first, chunks = shards({r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}, len(index.centroids), chunk)
     known = spark.createDataFrame([(i, int(first[i]), int(chunks[i])) for i in range(len(first))], "list int, first int, chunks int")
-    parts = max(1, -(-query.count() // QUERIES))
-    rows = listed.join(F.broadcast(known), "list").select((F.col("first") + F.pmod(F.xxhash64(F.get("ids", F.lit(0))), "chunks")).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "list", "ids", "v", "code")
-    wanted = query.mapInArrow(_asking(index, dim, first, chunks), "q long, qv array<double>, shards array<int>").select(F.explode("shards").alias("shard"), F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int").alias("part"), "q", "qv")
-    key = ("shard", "part")
-    got = rows.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInPandas(_search(index, k + 1, rerank), "q long, scores array<double>, ids array<array<long>>")
+    where = (F.col("first") + F.pmod(F.xxhash64(F.get("ids", F.lit(0))), "chunks")).cast("int").alias("shard")
+    rows = listed.join(F.broadcast(known), "list").select(where, F.lit(None).cast("long").alias("q"), "list", "ids", "v", "code")
+    wanted = query.mapInArrow(_asking(index, dim, first, chunks), "q long, v array<double>, shards array<int>").select(F.explode("shards").alias("shard"), "q", F.lit(None).cast("int").alias("list"), F.lit(None).cast("array<long>").alias("ids"), "v", F.lit(None).cast("binary").alias("code"))
+    tasks = int((first + chunks).max())
+    tasks = min(tasks, max(4 * shuffle_parts(spark), 1))
+    met = rows.unionByName(wanted).repartitionById(tasks, F.pmod("shard", F.lit(tasks))).sortWithinPartitions("shard", F.col("q").asc_nulls_first())
+    got = met.mapInArrow(_search(index, dim, k + 1, rerank), "q long, scores array<double>, ids array<array<long>>")
     near = got.select("q", F.explode(F.arrays_zip("scores", "ids")).alias("x")).select("q", F.col("x.scores").alias("score"), F.col("x.ids").alias("ids"))
     top = Window.partitionBy("q").orderBy(F.desc("score"), F.get("ids", F.lit(0)))
     near = near.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1)
