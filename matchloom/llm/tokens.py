@@ -101,7 +101,7 @@ def _tokens_of(path: str):
 def _counted(packs, values):
     offsets, _, flat, _ = values
     per_piece = flat[offsets]
-    for _, data in packs:
+    for _, data, _ in packs:
         ids, _, sizes, n, step, freq = unpack(data)
         step, freq = unplanes(step).astype(np.int64), unplanes(freq).astype(np.int64)
         total = np.cumsum(step)
@@ -188,7 +188,7 @@ def _coded(path: str, whole: bool):
     def finish(packs, values):
         offsets, lens, flat, _ = values
         table = token_bytes(path)
-        for _, data in packs:
+        for _, data, _ in packs:
             doc_ids, _, _, n, at = unpack(data)
             at = unplanes(at).astype(np.int64)
             ids = flat[ragged(offsets, lens, at)].astype("<u4")

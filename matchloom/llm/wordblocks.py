@@ -37,7 +37,7 @@ BLOCK_BYTES, PACK_BYTES = 24 << 20, 2 << 20
 #: Bytes of input for each bucket, and for each task that puts documents together.
 BUCKET_BYTES, TASK_BYTES = 8 << 20, 16 << 20
 #: Bits of a number that is sent as a piece (a hash): the buckets share them out in ranges.
-NUMBER_BITS = 56
+NUMBER_BITS = 48
 #: Kinds of rows: packed documents, pieces for a bucket, what a block tells of itself.
 DOCS, PIECES, TOLD = 0, 1, 2
 
@@ -79,6 +79,13 @@ def unspread(p: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(p.T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
+def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a, ascending, and how many of each."""
+    a = np.sort(a)
+    first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.empty(0, np.int64)
+    return a[first], np.diff(np.append(first, len(a)))
+
+
 def ragged(offsets: np.ndarray, lens: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Indices into flat values of the given rows, one after the other."""
     n = lens[rows]
@@ -240,7 +247,7 @@ class Frequencies(Cut):
     def packed(self):
         n, at = self.positions()
         size = max(len(self.items), 1)
-        keys, freq = np.unique(np.repeat(np.arange(len(n)), n) * size + at, return_counts=True)
+        keys, freq = distinct(np.repeat(np.arange(len(n)), n) * size + at)
         doc = keys // size
         new = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.empty(0, bool)
         step = np.where(new, keys % size, np.diff(keys, prepend=0))  # a document's ordinals ascend
@@ -360,15 +367,15 @@ def exchange(docs: DataFrame, block: Callable[[], Block], values: Values, name:
 
 def assemble(rows: DataFrame, values: DataFrame, finish, schema: str, types: list[pa.DataType], kinds: tuple[int, ...] = (DOCS,)) -> DataFrame:
     """finish(payloads, values): the tables' columns, one list of them for each pack of documents of a block.
-    payloads: what the block wrote of the given kinds, as (kind, payload); values: gathered() ones."""
+    payloads: what the block wrote of the given kinds, as (kind, payload, bucket); values: gathered() ones."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
     shape = pa.schema(list(zip(names, types)))
 
     def run(docs: pa.Table, got: pa.Table) -> pa.Table:
-        own = [(k, d) for k, d in zip(docs.column("kind").to_pylist(), docs.column("payload").to_pylist())]
+        own = list(zip(*(docs.column(n).to_pylist() for n in ("kind", "payload", "bucket"))))
         out = [pa.table(dict(zip(names, columns))).cast(shape) for columns in finish(own, gathered(got.column("payload").to_pylist()))]
         trim()
         return pa.concat_tables(out) if out else shape.empty_table()
 
-    own = rows.where(F.col("kind").isin(*kinds)).select("block", "kind", "payload")
+    own = rows.where(F.col("kind").isin(*kinds)).select("block", "kind", "payload", "bucket")
     return own.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(run, schema)
