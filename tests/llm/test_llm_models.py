@@ -127,6 +127,40 @@ def test_label_model_finds_bad_voters():
     assert ((p > 0.5) == y).mean() > 0.95
 
 
+def test_posteriors_are_those_of_the_joint_distribution():
+    """The label model's posterior against the sum over both labels of the product of all conditional probabilities, and its
+    parameters against those that the votes were drawn with."""
+    rng = np.random.default_rng(3)
+    n = 40_000
+    y = (rng.random(n) < 0.3).astype(int)
+    a = rng.random(n) < np.where(y, 0.7, 0.1)
+    b = rng.random(n) < np.where(a, np.where(y, 0.9, 0.8), np.where(y, 0.2, 0.05))  # goes along with a
+    c = rng.random(n) < np.where(y, 0.6, 0.15)
+    v = np.stack([a, b, c], 1).astype(float)
+    m = toxicity.LabelModel(3)
+    m.correlate(v, y.astype(float))
+    assert sorted(map(tuple, [sorted((i, int(k))) for i, k in enumerate(m.parent) if k >= 0])) == [(0, 1)]
+    m.learn(v, y.astype(float))
+    got = m.posterior(v[:200])
+    for row, p in zip(v[:200].astype(int), got):
+        joint = []
+        for label in (0, 1):
+            q = m.prior if label else 1 - m.prior
+            for i in range(3):
+                up = row[m.parent[i]] if m.parent[i] >= 0 else 0
+                q *= m.fires[label, up, i] if row[i] else 1 - m.fires[label, up, i]
+            joint.append(q)
+        assert p == pytest.approx(joint[1] / sum(joint))
+    assert m.accuracies(v, y.astype(float))[:, 2] == pytest.approx([0.15, 0.6], abs=0.02) and m.prior == pytest.approx(0.3, abs=0.02)
+    # copies of a voter count once
+    one, five = toxicity.LabelModel(2), toxicity.LabelModel(6)
+    x, x5 = v[:, [0, 2]], np.concatenate([v[:, :1], *[v[:, 2:]] * 5], 1)
+    for model, votes in ((one, x), (five, x5)):
+        model.correlate(votes, y.astype(float))
+        model.learn(votes, y.astype(float))
+    assert five.posterior(x5) == pytest.approx(one.posterior(x), abs=0.01)
+
+
 def small_net():
     counts = np.zeros(50)
     counts[:20] = np.arange(20, 0, -1) * 10
