@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import materialize
 from .components import components
@@ -38,22 +38,21 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([b.column(0), pa.array([fingerprint(x.as_py() or b"") for x in b.column(1)], pa.int64())], ["doc_id", "fp"])
 
 
-def _cells(fp: Column, width: int) -> Column:
-    """The fingerprint's cell and those one step away, as numbers of 64 bits. Bits that differ in d places move
+def _celled(fps: DataFrame, width: int) -> DataFrame:
+    """(fp, cell): each fingerprint's cell and those one step away, as numbers of 64 bits. Bits that differ in d places move
     the bit counts by a Manhattan distance of d at most, so fingerprints within 2 bits are at most 2 steps
     apart, and the cells one step around either share one. With segments of one bit a count is the bit, and
     the distance is that of the fingerprints."""
-    bits = width.bit_length()  # counts are 0 to width
-    each = 64 // width if bits == 1 else 16  # segments a number
-    part = lambda i: F.bit_count(F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit(2**width - 1))).cast("long")
-    counts = [part(i) for i in range(64 // width)] if width > 1 else [F.shiftrightunsigned(fp, i).bitwiseAND(F.lit(1)) for i in range(64)]
-    own = [reduce(Column.bitwiseOR, (F.shiftleft(c, bits * i) for i, c in enumerate(counts[k : k + each]))) for k in range(0, len(counts), each)]
-    cells = [F.struct(*(c.alias(f"c{j}") for j, c in enumerate(own)))]
-    for i, c in enumerate(counts):
-        for there, ok in ((c + 1, c < width), (c - 1, c > 0)):
-            moved = own[i // each].bitwiseXOR(F.shiftleft(c.bitwiseXOR(there), bits * (i % each)))
-            cells.append(F.when(ok, F.struct(*((moved if j == i // each else o).alias(f"c{j}") for j, o in enumerate(own)))))
-    return F.filter(F.array(*cells), lambda x: x.isNotNull())
+    bits, segments = width.bit_length(), 64 // width  # counts are 0 to width
+    each = segments if bits == 1 else 16  # segments a number
+    count = f"bit_count(shiftrightunsigned(fp, {width} * i) & {2**width - 1}L)"
+    at = f"{bits} * (i % {each})"
+    numbers = range(segments // each)
+    own = fps.select("fp", *(F.expr(f"aggregate(sequence({j * each}, {j * each + each - 1}), 0L, (a, i) -> a | shiftleft(cast({count} AS BIGINT), {at}))").alias(f"o{j}") for j in numbers))
+    cell = lambda f: "named_struct(" + ", ".join(f"'c{j}', {f(j)}" for j in numbers) + ")"
+    moved = lambda step: cell(lambda j: f"if(i div {each} = {j}, o{j} ^ shiftleft(cast({count} ^ ({count} {step}) AS BIGINT), {at}), o{j})")
+    near = [f"transform(filter(sequence(0, {segments - 1}), i -> {count} {ok}), i -> {moved(step)})" for ok, step in ((f"< {width}", "+ 1"), ("> 0", "- 1"))]
+    return own.select("fp", F.explode(F.expr(f"concat(array({cell(lambda j: f'o{j}')}), {', '.join(near)})")).alias("cell"))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -63,7 +62,7 @@ def links(fps: DataFrame) -> DataFrame:
     are within one bit of it, so they are linked to the least of them, and no pairs are made."""
     found, members = [], fps.select("fp")
     for width in WIDTHS:
-        placed = members.select("fp", F.explode(_cells(F.col("fp"), width)).alias("cell"))
+        placed = _celled(members, width)
         if width == 1:
             least = placed.groupBy("cell").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
             found.append(placed.join(least, "cell").where("a < fp").select("a", F.col("fp").alias("b")))
