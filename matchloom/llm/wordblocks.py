@@ -38,6 +38,8 @@ BLOCK_BYTES, PACK_BYTES = 24 << 20, 2 << 20
 BUCKET_BYTES, TASK_BYTES = 8 << 20, 16 << 20
 #: Bits of a number that is sent as a piece (a hash): the buckets share them out in ranges.
 NUMBER_BITS = 48
+#: Numbers of a bucket that are merged at a time.
+MERGED = 1 << 19
 #: Kinds of rows: packed documents, pieces for a bucket, what a block tells of itself.
 DOCS, PIECES, TOLD = 0, 1, 2
 
@@ -284,6 +286,30 @@ def _split(make: Callable[[], Block], buckets: int, parts: int, most: int):
     return run
 
 
+def totals(numbers: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each array of ascending numbers, how much is counted of each number in all of them; a range of about MERGED at a time."""
+    out = [np.zeros(len(x), np.int64) for x in numbers]
+    some = [x for x in numbers if len(x)]
+    if not some:
+        return out
+    low, high = min(int(x[0]) for x in some), max(int(x[-1]) for x in some) + 1
+    steps = -(-sum(map(len, some)) // MERGED)
+    edges = [np.searchsorted(x, np.array([low + (high - low) * k // steps for k in range(steps + 1)], np.uint64)) for x in numbers]
+    for k in range(steps):
+        own = [slice(e[k], e[k + 1]) for e in edges]
+        order = np.argsort(keys := np.concatenate([x[s] for x, s in zip(numbers, own)]), kind="stable")
+        keys = keys[order]
+        group = np.cumsum(np.append(False, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        at = np.empty(len(keys), np.int64)
+        at[order] = group
+        total = np.bincount(at, np.concatenate([c[s] for c, s in zip(counts, own)]))[at].astype(np.int64)
+        start = 0
+        for o, s in zip(out, own):
+            o[s] = total[start : start + s.stop - s.start]
+            start += s.stop - s.start
+    return out
+
+
 def _value(values: Values, told=None):
     def bucket(rows: list[tuple[int, bytes]], place: int) -> Iterator[pa.RecordBatch]:
         index, total, places, numbers, many = numbered(), np.zeros(1024, np.int64), [], [], []
@@ -302,12 +328,10 @@ def _value(values: Values, told=None):
         offsets = np.cumsum(lens) - lens
         if told:
             yield pa.record_batch([pa.array([-1], pa.int64()), pa.array([pack(told(pieces, total))], pa.binary())], ["block", "payload"])
-        ends = np.cumsum([len(x) for x in numbers])
-        _, at = np.unique(np.concatenate(numbers), return_inverse=True)
-        many = np.bincount(at, np.concatenate(many))[at].astype(np.int64) if len(at) else np.empty(0, np.int64)
+        many = totals(numbers, many)
         del numbers
-        for (block, data), at, end, n in zip(rows, places, ends, np.diff(ends, prepend=0)):
-            value = pack((unpack(data)[0], lens[at].astype(np.uint32), flat[ragged(offsets, lens, at)], place, many[end - n : end]))
+        for (block, data), at, n in zip(rows, places, many):
+            value = pack((unpack(data)[0], lens[at].astype(np.uint32), flat[ragged(offsets, lens, at)], place, n))
             yield pa.record_batch([pa.array([block], pa.int64()), pa.array([value], pa.binary())], ["block", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,12 +374,12 @@ def input_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def exchange(docs: DataFrame, block: Callable[[], Block], values: Values, name: str, told=None, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+def exchange(docs: DataFrame, block: Callable[[], Block], values: Values, name: str, told=None, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
     """The rows (block, kind, payload) of docs (id, text, mark) and the pieces' values, (block, payload).
     told(pieces, counts): of each bucket's distinct pieces, what is sent along in a row of block -1. The
     documents stay where they were written; only pieces and values move."""
     size = input_bytes(docs)
-    buckets = max(1, -(-size // BUCKET_BYTES))
+    buckets = max(1, -(-size // bucket_bytes))
     parts = max(shuffle_parts(docs.sparkSession), -(-size // TASK_BYTES))
     read = docs.select(F.col("id").cast("long"), F.col("text").cast("binary"), F.col("mark").cast("byte"))
     rows = materialize_by(read.mapInArrow(_split(block, buckets, parts, block_bytes), "block long, kind int, bucket int, payload binary"), name, parts, "block", "kind")
