@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import similarity as S
+from ..shared import written
 from ..sources.files import source_of
 from . import retrieval as R
 
@@ -70,10 +71,12 @@ def compress(pairs: DataFrame, k: int = 60, s2: int = 20, s3: int = 20, most: in
 
 
 def generate(queries: DataFrame, candidates: DataFrame, filter_country: bool = True, found: dict[str, DataFrame] | None = None, **options) -> tuple[DataFrame, DataFrame]:
-    """(kept pairs with rank, all pairs): channels, country filter, votes, fusion, quotas."""
+    """(kept pairs with rank, all pairs): channels, country filter, votes, fusion, quotas. All pairs are written once, so
+    that the channels run once however often they are read."""
     pairs = merged(found or channels(queries, candidates))
     if filter_country:
         pairs, _ = same_country(pairs, queries, candidates)
+    pairs = written(pairs, "pairs")
     return compress(pairs, **options), pairs
 
 

@@ -9,19 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X, vocab
+from ..shared import written
+from .blocks import dense as dense, first, sparse, top
 
 #: Index, weight, and how many of a key's first candidates a query reads; BUILD are kept.
 KEYS = (("country_postal", 3.0, 25), ("country_tokens", 2.5, 20), ("country_compact", 2.0, 20), ("country_num_tok", 2.5, 20), ("country_distinctive", 1.5, 15), ("postal_name", 2.0, 15))
 BUILD = 25
 
 
-def top(df: DataFrame, k: int, score: str = "score", key: str = "s1_id") -> DataFrame:
-    """The k best rows of each key by score, ties to the smaller candidate_id, with their rank. Scores that
-    agree to nine places tie, whatever order they were summed in. Spark limits each group before it shuffles."""
-    w = Window.partitionBy(key).orderBy(F.round(score, 9).desc(), "candidate_id")
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def block_keys(indexes: tuple[str, ...] | None = None) -> Column:
     """Array of (idx, key) of a record. A name's repeated distinctive token is there as often."""
     c, p, t, compact = F.col("country"), F.col("postal_code"), F.col("name_tokens"), F.col("compact_name")
@@ -95,15 +90,34 @@ def tfidf_fit(candidates: DataFrame, text: str, terms=char_terms, max_df: float
     than max_df of them, the max_features with most occurrences, ties to the smaller term. A
     vocabulary that comes out empty gives no rows."""
     rows = candidates.select("part", F.col("entity_id").alias("candidate_id"), "seq", terms(F.col(text)).alias("terms"))
-    w = Window.partitionBy("part").orderBy("seq")
-    first = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= sample)
-    n = first.groupBy("part").agg(F.count("*").alias("docs"))
-    tf = first.select("part", "candidate_id", F.explode("terms").alias("term")).groupBy("part", "candidate_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("part", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(F.broadcast(n), "part").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("docs")))
-    kept = df.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("total"), "term"))).where(F.col("place") <= max_features)
+    read = first(rows, sample, "part", F.col("seq"))
+    n = read.groupBy("part").agg(F.count("*").alias("docs"))
+    count = lambda df: df.select("part", "candidate_id", F.explode("terms").alias("term")).groupBy("part", "candidate_id", "term").agg(F.count("*").alias("tf"))
+    df = count(read).groupBy("part", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(n, "part").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("docs")))
+    kept = most_frequent(written(df, "terms"), max_features)
     idf = kept.select("part", "term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    every = rows.select("part", "candidate_id", F.explode("terms").alias("term")).groupBy("part", "candidate_id", "term").agg(F.count("*").alias("tf"))
-    return idf, _weights(every, idf, ("candidate_id",)).select("part", "candidate_id", "term", "w")
+    return idf, _weights(count(rows), idf, ("candidate_id",)).select("part", "candidate_id", "term", "w")
+
+
+def most_frequent(terms: DataFrame, n: int) -> DataFrame:
+    """The n terms of each part with the largest total, ties to the smaller term: those of the largest totals by a
+    histogram, and of those that tie with the last, the smaller ones by their first seven bytes."""
+    largest = F.lit((1 << 48) - 1) - F.col("total")
+    x = first(terms, n, "part", largest)
+    if x is terms:  # no part has more
+        return x
+    last = x.groupBy("part").agg(F.count("*").alias("_all"), F.min("total").alias("_last")).where(F.col("_all") > n)
+    x = x.join(last, "part", "left")
+    sure, tied = x.where("_last is null or total > _last").drop("_all", "_last"), x.where("total = _last")
+    missing = tied.groupBy("part").agg(F.count("*").alias("_ties"), (F.lit(n) - F.first("_all") + F.count("*")).alias("_missing"))
+    # a number that orders terms as their bytes do
+    place = F.conv(F.rpad(F.hex(F.substring(F.encode("term", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    tied = tied.join(missing, "part").withColumn("_place", place)
+    upto = tied.groupBy("part", F.shiftright("_place", 40).alias("_b")).agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(Window.partitionBy("part").orderBy("_b")))
+    tied = tied.withColumn("_b", F.shiftright("_place", 40)).join(upto, ["part", "_b"]).where(F.col("_upto") - F.col("_n") < F.col("_missing"))
+    own = Window.partitionBy("part", "_b").orderBy("_place", "term")  # terms that begin with the same two bytes
+    tied = tied.withColumn("_k", F.row_number().over(own)).where(F.col("_upto") - F.col("_n") + F.col("_k") <= F.col("_missing"))
+    return sure.unionByName(tied.select(*sure.columns))
 
 
 def tfidf(queries: DataFrame, fitted: tuple[DataFrame, DataFrame], text: str, k: int, terms=char_terms, rarest: int | None = 8, least: float = 0.05) -> DataFrame:
@@ -116,8 +130,7 @@ def tfidf(queries: DataFrame, fitted: tuple[DataFrame, DataFrame], text: str, k:
         w = Window.partitionBy("part", "s1_id").orderBy(F.desc("idf"), "term")
         q = q.withColumn("place", F.row_number().over(w)).where(F.col("place") <= rarest)
     q = q.select("part", "s1_id", "term", F.col("w").alias("wq"))
-    hits = q.join(weights, ["part", "term"]).groupBy("s1_id", "candidate_id").agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
-    return top(hits.where(F.col("score") > least), k)
+    return sparse(q, weights, k, least)
 
 
 def bm25_fit(candidates: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -127,26 +140,16 @@ def bm25_fit(candidates: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFra
     c = candidates.where("source <> 'S1'").select("part", F.col("entity_id").alias("candidate_id"), F.concat("name_tokens", "address_tokens").alias("tokens"))
     n = c.groupBy("part").agg(F.count("*").alias("docs"))
     tf = c.select("part", "candidate_id", F.explode("tokens").alias("token")).groupBy("part", "candidate_id", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("part", "token").agg(F.count("*").alias("df")).join(F.broadcast(n), "part")
+    df = tf.groupBy("part", "token").agg(F.count("*").alias("df")).join(n, "part")
     many = F.col("docs") > 100
     df = df.where(~many | ((F.col("df") >= 2) & (F.col("df") <= F.floor(0.40 * F.col("docs"))))).withColumn("idf", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     x = tf.join(df, ["part", "token"]).withColumn("dl", F.sum("tf").over(Window.partitionBy("part", "candidate_id")))
     mean = x.select("part", "candidate_id", "dl").distinct().groupBy("part").agg(F.avg("dl").alias("avgdl"))
-    x = x.join(F.broadcast(mean), "part").where("idf > 0.05").withColumn("tf", F.least("tf", F.lit(63)))
+    x = x.join(mean, "part").where("idf > 0.05").withColumn("tf", F.least("tf", F.lit(63)))
     return x.select("part", "token", "candidate_id", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("weight"))
 
 
 def bm25(queries: DataFrame, fitted: DataFrame, k: int = 20) -> DataFrame:
     """(s1_id, candidate_id, score, rank): summed over the query's distinct tokens, over 0."""
-    q = queries.select("part", F.col("entity_id").alias("s1_id"), F.explode(F.array_distinct(F.concat("name_tokens", "address_tokens"))).alias("token"))
-    return top(q.join(fitted, ["part", "token"]).groupBy("s1_id", "candidate_id").agg(F.sum("weight").alias("score")).where("score > 0"), k)
-
-
-def dense(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """(s1_id, candidate_id, score, rank) by inner product: exact, of (s1_id, v) and (candidate_id, v).
-    The queries are sent around only if Spark finds them small enough; a part of the query set at a time
-    is the caller's choice."""
-    from ..functions.similarity import dot
-
-    q, c = queries.select("s1_id", F.col("v").alias("_q")), candidates.select("candidate_id", F.col("v").alias("_c"))
-    return top(q.join(c, F.size("_q") == F.size("_c")).select("s1_id", "candidate_id", dot(F.col("_q"), F.col("_c")).alias("score")), k)
+    q = queries.select("part", F.col("entity_id").alias("s1_id"), F.explode(F.array_distinct(F.concat("name_tokens", "address_tokens"))).alias("term"), F.lit(1.0).alias("wq"))
+    return sparse(q, fitted.select("part", "candidate_id", F.col("token").alias("term"), F.col("weight").alias("w")), k, 0.0)

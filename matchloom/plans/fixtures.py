@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..shared import written
 from ..shipping import ship
 from ..sources import files
 
@@ -59,8 +60,8 @@ def rows(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 
 
 def queries_and_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Normalised records of S1, and of S2 and S3: kept, since every channel and the features read them."""
-    return files.records(rows(spark, sf_dir, "S1")).persist(), files.records(rows(spark, sf_dir, "S2", "S3")).persist()
+    """Normalised records of S1, and of S2 and S3: written once, since every channel and the features read them."""
+    return written(files.records(rows(spark, sf_dir, "S1")), "queries"), written(files.records(rows(spark, sf_dir, "S2", "S3")), "candidates")
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
