@@ -114,11 +114,12 @@ def _dense(k: int):
     return run
 
 
-def dense(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+def dense(queries: DataFrame, candidates: DataFrame, k: int, part: str | None = None) -> DataFrame:
     """(s1_id, candidate_id, score, rank) of the k largest inner products of (s1_id, v) with (candidate_id, v): exact.
-    Vectors of other lengths, and those with a null in them, don't meet."""
-    part = lambda df: df.where(F.size("v") > 0).withColumn("v", F.col("v").cast("array<double>")).where(~F.exists("v", lambda x: x.isNull())).withColumn("part", F.size("v"))
-    q, c, key = _dealt(part(queries.select("s1_id", "v")), part(candidates.select("candidate_id", "v")), ["part"], ("s1_id", "candidate_id"))
+    Vectors of other lengths, and those with a null in them, don't meet; nor do those of another `part`, if there is one."""
+    keys = [part, "_size"] if part else ["_size"]
+    own = lambda df, i: df.select(i, *keys[:-1], F.col("v").cast("array<double>").alias("v")).where((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())).withColumn("_size", F.size("v"))
+    q, c, key = _dealt(own(queries, "s1_id"), own(candidates, "candidate_id"), keys, ("s1_id", "candidate_id"))
     got = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInArrow(_dense(k), "s1_id string, candidate_id string, score double")
     return top(got, k)
 

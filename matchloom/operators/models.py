@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .evaluation import f05
 
+#: S1 texts and candidate texts to scores before the sigmoid.
+Scorer = Callable[[pd.Series, pd.Series], pd.Series]
+
 
 class Ranker:
     """Gradient-boosted trees on pair features. Rows of label 1 weigh negatives / positives if balanced."""
@@ -63,7 +66,7 @@ def ambiguous(scored: DataFrame, low: float = 0.3, high: float = 0.8, margin: fl
     return x.orderBy(F.abs(s - 0.5), "s1_id", "candidate_id").limit(budget).drop("_n", "_top", "_k")
 
 
-def rerank(pairs: DataFrame, texts: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
+def rerank(pairs: DataFrame, texts: DataFrame, scorer: Scorer) -> DataFrame:
     """Adds ce_score, the sigmoid of scorer(S1 text, candidate text). texts: entity_id, record_text."""
 
     @F.pandas_udf(T.DoubleType())

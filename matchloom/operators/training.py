@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def draw(key: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(key))
+    """60 bits of the MD5 of the seed and the key, as a long."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def stratified(s1: DataFrame, truth: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -31,7 +32,7 @@ def stratified(s1: DataFrame, truth: DataFrame, n: int, seed: int = 42) -> DataF
 def split(ids: DataFrame, holdout: float = 0.1, calibration: float = 0.1, seed: int = 42, key: str = "s1_id") -> DataFrame:
     """Adds part: the first int(n holdout) ids by hash are `holdout`, the next int(n calibration)
     `calibration`, the others `train`. The places come from sizes of hash buckets, so no task sorts all ids."""
-    x = ids.select(key).distinct().withColumn("_h", draw(key, seed)).withColumn("_b", F.shiftrightunsigned("_h", 52).cast("int"))
+    x = ids.select(key).distinct().withColumn("_h", draw(key, seed)).withColumn("_b", F.shiftright("_h", 48).cast("int"))
     sizes = sorted((r["_b"], r["count"]) for r in x.groupBy("_b").count().collect())  # 4096 rows at most
     before, at = {}, 0
     for b, c in sizes:
@@ -90,5 +91,3 @@ def hard_negatives(scored: DataFrame, truth: DataFrame, threshold: float = 0.35,
     x = scored.where(F.col("score") >= threshold).join(t, ["s1_id", "candidate_id"], "left_anti")
     w = Window.partitionBy("s1_id").orderBy(F.desc("score"), "candidate_id")
     return x.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
-
-

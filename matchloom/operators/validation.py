@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.files import strings
+from ..sources.files import exists, strings
 
 ERROR, WARNING = "error", "warning"
 HEADERS = {"matches": ["source1_entity_id", "matched_entity_ids"], "candidates": ["source1_entity_id", "candidate_entity_ids"]}
@@ -14,14 +14,13 @@ HEADERS = {"matches": ["source1_entity_id", "matched_entity_ids"], "candidates":
 
 def header_problem(spark: SparkSession, path: str, expected: list[str]) -> str | None:
     """V1: what is wrong with a file's existence or first line."""
-    try:
-        first = spark.read.text(path).limit(1).collect()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return "file not found"
-        raise
+    if not exists(spark, path):
+        return "file not found"
+    first = spark.read.text(path).limit(1).collect()
     if not first:
         return "empty"
+    if not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
+        return "not UTF-8"
     line = first[0].value
     if "\t" not in line and "," in line:
         return "comma-separated"
@@ -99,5 +98,3 @@ def _note(spark: SparkSession, severity: str, rule: str, name: str) -> DataFrame
 
 def passed(report: DataFrame) -> bool:
     return report.where(F.col("severity") == ERROR).isEmpty()
-
-

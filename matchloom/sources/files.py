@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import zipfile
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -40,6 +41,14 @@ def scan_source(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def scan_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Names and addresses only, of those source files that are there."""
+    found = [scan_source(spark, p).select("entity_id", "business_name", "business_address") for p in paths if exists(spark, p)]
+    if not found:
+        return spark.createDataFrame([], strings("entity_id", "business_name", "business_address"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def scan_truth(spark: SparkSession, path: str) -> DataFrame:
     return _tsv(spark, path)
 
@@ -141,6 +150,30 @@ def reconciled(candidates: DataFrame, matches: DataFrame) -> tuple[DataFrame, Da
     return candidates.join(matches, "source1_entity_id", "left_semi"), matches.join(candidates, "source1_entity_id", "left_semi")
 
 
+def read_output(spark: SparkSession, path: str) -> DataFrame:
+    """An output's rows; an empty list is ''."""
+    return spark.read.csv(path, sep="\t", header=True).fillna("")
+
+
+def mend(spark: SparkSession, candidates: str, matches: str) -> DataFrame | None:
+    """The ids (source1_entity_id) that both outputs have; None if one of them isn't there. Where the outputs disagree (a run broke
+    off between two appends), or one has an id twice, both are rewritten: one row of each id that both have. The new files are
+    complete before the old ones go, and a run that breaks off here is mended by the next."""
+    if not (exists(spark, candidates) and exists(spark, matches)):
+        return None
+    paths = {"candidates": candidates, "matches": matches}
+    read = {n: read_output(spark, p) for n, p in paths.items()}
+    n = {k: df.agg(F.count("*"), F.count_distinct("source1_entity_id")).first() for k, df in read.items()}
+    own = reconciled(read["candidates"], read["matches"])
+    both = own[0].select("source1_entity_id").distinct()
+    if len({both.count(), *n["candidates"], *n["matches"]}) > 1:
+        for df, p in zip(own, paths.values()):
+            df.dropDuplicates(["source1_entity_id"]).write.mode("overwrite").csv(f"{p}.mended", sep="\t", header=True, emptyValue="")
+        for p in paths.values():
+            replace(spark, p, f"{p}.mended")
+    return read_output(spark, candidates).select("source1_entity_id")
+
+
 def scan_ids(spark: SparkSession, path: str) -> DataFrame:
     """The distinct values of a file's first column, without blanks."""
     df = spark.read.csv(path, sep="\t", header=True)
@@ -148,20 +181,41 @@ def scan_ids(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.trim(F.col(f"`{first}`")).alias("entity_id")).where("entity_id <> ''").distinct()
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it has it: any store that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
+
+
+def replace(spark: SparkSession, path: str, by: str) -> None:
+    """Puts the folder `by` in the place of `path`."""
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
+    if not fs.rename(file_system(spark, by)[1], p):
+        raise OSError(f"can't move {by} to {path}")
+
+
 def save_json(value: dict, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, indent=2, sort_keys=True), encoding="utf-8")
+    fs, p = file_system(SparkSession.active(), path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(json.dumps(value, indent=2, sort_keys=True).encode()))
+    finally:
+        out.close()
 
 
 def load_json(path: str) -> dict:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    return json.loads(SparkSession.active().read.text(path, wholetext=True).first()[0])
 
 
 def read_through(spark: SparkSession, path: str, make) -> DataFrame:
     """The table at path; made and written first if it isn't there."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+    if not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

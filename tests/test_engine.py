@@ -294,3 +294,114 @@ def test_stream_resumes(spark, tmp_path):
     _tsv(folder / "3.tsv", [("S1-3", "n", "a", "us")])
     run()
     assert sorted(seen) == ["S1-0", "S1-1", "S1-2", "S1-3"]
+
+
+def _small_run(tmp_path):
+    co = ("us", "in", "")
+    mk = lambda s, i: (f"{s}-{i}", f"Brand{i:02} Trading Ltd", f"{i + 1} Maple St, Springfield {10000 + i}", co[i % 3])
+    for mode in ("train", "test"):
+        for s in ("S1", "S2", "S3"):
+            _tsv(tmp_path / f"{mode}_{s}.tsv", [mk(s, i) for i in range(24) if s == "S1" or i % 2 == 0])
+    (tmp_path / "truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"S1-{i}\t{f'S2-{i},S3-{i}' if i % 2 == 0 else ''}\n" for i in range(24)))
+    return {"base_dir": str(tmp_path), "train_ground_truth": "truth.tsv", **{f"{m}_source{i}": f"{m}_S{i}.tsv" for m in ("train", "test") for i in (1, 2, 3)}}
+
+
+def letter_encoder():
+    def encode(texts):
+        import numpy as np
+
+        return np.array([[t.lower().count(c) + 0.01 for c in "abcdefghijklmnopqrstuvwxyz0123456789"] for t in texts])
+
+    return encode
+
+
+def test_a_run_that_broke_off_is_mended(spark, tmp_path, monkeypatch):
+    """With an encoder and a reranker; the run ends between the two writes of its second batch, and goes on."""
+    config = {"paths": _small_run(tmp_path), "inference": {"batches": 3}, "features": {"semantic": {"enabled": True}}, "reranking": {"enabled": True, "fraction": 0.5}}
+    model, out = str(tmp_path / "model"), str(tmp_path / "out")
+    scorer = lambda a, b: (a.str.len() - b.str.len()).abs() * -0.1
+    with pytest.raises(ValueError):
+        pipeline.train(spark, config, model, trees=2, scorer=scorer)  # no encoder
+    m = pipeline.train(spark, config, model, trees=2, encoder=letter_encoder(), scorer=scorer)
+    assert len(m["feature_names"]) == 63 and m["semantic"]
+    with pytest.raises(ValueError):
+        pipeline.infer(spark, {**config, "features": {}}, model, out)
+    write, calls = files.write_matches, []
+
+    def broken(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        write(*args)
+
+    monkeypatch.setattr(files, "write_matches", broken)
+    with pytest.raises(RuntimeError):
+        pipeline.infer(spark, config, model, out, encoder=letter_encoder(), scorer=scorer)
+    a, b = (files.read_output(spark, f"{out}/{n}").count() for n in ("candidate_pairs", "matching_results"))
+    assert a > b
+    pipeline.infer(spark, config, model, out, encoder=letter_encoder(), scorer=scorer)
+    assert V.passed(pipeline.validate(spark, config, out))
+    assert [files.read_output(spark, f"{out}/{n}").count() for n in ("candidate_pairs", "matching_results")] == [24, 24]
+
+
+def test_bytes_that_are_not_utf8_fail(spark, tmp_path):
+    (tmp_path / "m.tsv").write_bytes(b"source1_entity_id\tmatched_entity_ids\nS1-1\t\xff\xfe\n")
+    need = spark.createDataFrame([("S1-1",)], "entity_id string")
+    assert not V.passed(V.validate(spark, str(tmp_path / "m.tsv"), None, need))
+
+
+def test_vector_index(spark):
+    import numpy as np
+
+    from matchloom.operators import vectors as D
+
+    assert D.select(1000, 90_000) == ("ivfpq", 25) and D.select(200, 200) == ("ivfflat", 5) and D.select(50, 50) == ("flat", 1) and D.select(100_000, 10**6) == ("ivfpq", 1000)
+    x = np.random.default_rng(0).standard_normal((300, 384))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    of = lambda rows: spark.createDataFrame([(f"S2-{i}", x[i].tolist()) for i in rows], "candidate_id string, v array<double>")
+    for n in (50, 300):
+        index = D.train(of(range(n)), probes=2).add(of(range(n // 2))).add(of(range(n // 2, n)))
+        q = of([0, n - 1]).select(F.concat(F.lit("S1"), F.substring("candidate_id", 3, 9)).alias("s1_id"), "v")
+        got = {r.s1_id: r for r in index.search(q, 3).where("rank = 1").collect()}
+        assert {k: r.candidate_id for k, r in got.items()} == {"S1-0": "S2-0", f"S1-{n - 1}": f"S2-{n - 1}"} and got["S1-0"].score == pytest.approx(1)
+    with pytest.raises(ValueError):
+        D.train(of(range(5))).search(of([0]), 1)
+
+
+def test_blank_texts_are_encoded_as_empty(spark):
+    from matchloom.operators import vectors as D
+
+    df = spark.createDataFrame([("a", " "), ("b", None), ("c", "<empty>"), ("d", "xx")], "entity_id string, t string")
+    got = {r.entity_id: r.v for r in D.encode(df, {"v": F.col("t")}, letter_encoder()).collect()}
+    assert got["a"] == got["b"] == got["c"] != got["d"] and sum(v * v for v in got["d"]) == pytest.approx(1)
+
+
+def test_first_of_a_key_by_histograms(spark):
+    from matchloom.operators import blocks
+
+    rows = [("a", i * 37 % 1001 * 10**9) for i in range(1001)] + [("b", 5)] * 3 + [("c", 1), ("c", 2), ("c", 2), ("c", 3)]
+    df = spark.createDataFrame(rows, "k string, x long")
+    got = [(r.k, r.x) for r in blocks.first(df, 2, "k", F.col("x")).collect()]
+    assert sorted(got) == [("a", 0), ("a", 10**9), ("b", 5), ("b", 5), ("b", 5), ("c", 1), ("c", 2), ("c", 2)]
+
+
+def test_most_frequent_terms(spark):
+    from matchloom.operators.retrieval import most_frequent
+
+    rows = [("p", f"t{i:03}", 5 if i < 3 else 2) for i in range(100)] + [("q", "é", 1), ("q", "a", 1), ("q", "z", 1)]
+    df = spark.createDataFrame(rows, "part string, term string, total long").withColumn("docs", F.lit(9))
+    got = {(r.part, r.term) for r in most_frequent(df, 10).collect()}
+    assert got == {("p", f"t{i:03}") for i in range(10)} | {("q", "é"), ("q", "a"), ("q", "z")}
+    assert {r.term for r in most_frequent(df.where("part = 'q'"), 2).collect()} == {"a", "z"}
+
+
+def test_corpus_leaves_s1_out_unless_nothing_remains(spark):
+    both = recs(spark, ("S1-1", "a", "", ""), ("S2-1", "b", "", ""))
+    assert [r.entity_id for r in P.corpus(both).collect()] == ["S2-1"]
+    assert [r.entity_id for r in P.corpus(both.where("source = 'S1'")).collect()] == ["S1-1"]
+
+
+def test_texts_of_missing_files_are_skipped(spark, tmp_path):
+    _tsv(tmp_path / "a.tsv", [("S2-1", "n", "a", "us")])
+    got = files.scan_texts(spark, [str(tmp_path / "a.tsv"), str(tmp_path / "none.tsv")])
+    assert [tuple(r) for r in got.collect()] == [("S2-1", "n", "a")] and files.scan_texts(spark, [str(tmp_path / "none.tsv")]).count() == 0
