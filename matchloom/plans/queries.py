@@ -257,11 +257,6 @@ def er_ground_truth(spark, sf_dir):
     return tidy(files.parse_truth(raw).select("s1_id", F.array_join("matches", ",").alias("matches"), F.size("matches").alias("n")))
 
 
-@query("SELECT 'holdout' AS part, CAST(floor(n * 0.1) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM truth) UNION ALL SELECT 'calibration', CAST(floor(n * 0.1) AS BIGINT) FROM (SELECT count(*) AS n FROM truth) UNION ALL SELECT 'train', n - 2 * CAST(floor(n * 0.1) AS BIGINT) FROM (SELECT count(*) AS n FROM truth)")
-def er_train_split(spark, sf_dir):
-    return tidy(T.split(fixtures.truth(spark, sf_dir)).groupBy("part").agg(F.count("*").alias("n")))
-
-
 @query("SELECT s1_id, candidate_id, label FROM (SELECT s1_id, candidate_id, rank, CAST(CASE WHEN list_contains(matches, candidate_id) THEN 1 ELSE 0 END AS BIGINT) AS label, len(matches) AS m FROM kept JOIN truth USING (s1_id)) WHERE label = 0 QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY rank) <= CASE WHEN m > 0 THEN 4 * m ELSE 2 END")
 def er_negative_sampling(spark, sf_dir):
     return tidy(T.negatives(compressed(spark, sf_dir)[2], fixtures.truth(spark, sf_dir)).select("s1_id", "candidate_id", "label"))
@@ -289,12 +284,6 @@ def er_distractor_limit(spark, sf_dir):
     return T.limit_distractors(c, some, 50).select("entity_id")
 
 
-@query("SELECT least(100, count(*)) AS n, least(100, count(*)) AS ids FROM truth")
-def er_stratified_sample(spark, sf_dir):
-    got = T.stratified(fixtures.rows(spark, sf_dir, "S1"), fixtures.truth(spark, sf_dir), 100)
-    return got.agg(F.count("*").alias("n"), F.count_distinct("entity_id").alias("ids"))
-
-
 # Models and decisions
 
 _AMB = "SELECT s1_id, candidate_id, score, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, candidate_id) AS n, max(score) OVER (PARTITION BY s1_id) AS top, count(*) OVER (PARTITION BY s1_id) AS k FROM scored"
