@@ -88,6 +88,23 @@ def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[first], np.diff(np.append(first, len(a)))
 
 
+class Places:
+    """Where numbers of NUMBER_BITS, evenly spread, lie among ascending ones that hold them all."""
+
+    def __init__(self, among: np.ndarray) -> None:
+        self.among, self.shift = among, np.uint64(max(NUMBER_BITS - max(len(among), 1).bit_length(), 0))
+        starts = np.bincount((among >> self.shift).astype(np.int64), minlength=(1 << NUMBER_BITS >> int(self.shift)) + 1)
+        self.starts = np.cumsum(starts) - starts
+
+    def __call__(self, numbers: np.ndarray) -> np.ndarray:
+        out = self.starts[(numbers >> self.shift).astype(np.int64)]
+        left = np.flatnonzero(self.among[out] != numbers)
+        while len(left):  # a few have others before them
+            out[left] += 1
+            left = left[self.among[out[left]] != numbers[left]]
+        return out
+
+
 def ragged(offsets: np.ndarray, lens: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Indices into flat values of the given rows, one after the other."""
     n = lens[rows]
@@ -192,18 +209,16 @@ class Block:
         if self.ids:
             yield self.docs()
         pieces, counts = self.pieces()
-        by: list[tuple[list, list]] = [([], []) for _ in range(buckets)]
-        for k, w in enumerate(pieces):
-            own = by[zlib.crc32(w) % buckets]
-            own[0].append(k)
-            own[1].append(w)
+        place = np.fromiter(map(zlib.crc32, pieces), np.uint32, len(pieces)) % np.uint32(buckets)
+        order = np.argsort(place.astype(np.uint16) if buckets <= 1 << 16 else place, kind="stable")
+        pieces = [pieces[i] for i in order.tolist()]
+        ends = np.searchsorted(place[order], np.arange(buckets + 1))
         numbers, n = self.numbers() or (np.empty(0, np.uint64), np.empty(0, np.int64))
         edges = np.searchsorted(numbers, np.array([(b << NUMBER_BITS) // buckets for b in range(buckets)] + [1 << 63], np.uint64))
-        for b, (k, w) in enumerate(by):
-            own = slice(edges[b], edges[b + 1])
-            if k or own.start < own.stop:
-                k = np.array(k, np.uint32)
-                yield PIECES, b, pack((planes(np.diff(k, prepend=np.uint32(0))), w, counts[k], spread(numbers[own]), n[own].astype(np.uint32)))
+        for b in range(buckets):
+            own, k = slice(edges[b], edges[b + 1]), order[ends[b] : ends[b + 1]]
+            if len(k) or own.start < own.stop:
+                yield PIECES, b, pack((planes(np.diff(k, prepend=0)), pieces[ends[b] : ends[b + 1]], counts[k], spread(numbers[own]), n[own].astype(np.uint32)))
         if (told := self.told()) is not None:
             yield TOLD, -1, pack(told)
 
