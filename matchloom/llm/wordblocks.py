@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import itertools
 import pickle
 import zlib
@@ -40,8 +39,9 @@ BUCKET_BYTES, TASK_BYTES = 8 << 20, 16 << 20
 NUMBER_BITS = 48
 #: Numbers of a bucket that are merged at a time.
 MERGED = 1 << 19
-#: Kinds of rows: packed documents, pieces for a bucket, what a block tells of itself.
-DOCS, PIECES, TOLD = 0, 1, 2
+#: Kinds of rows: packed documents, pieces for a bucket, what a block tells of itself when its documents are put
+#: together, and what it adds to the corpus' sums.
+DOCS, PIECES, TOLD, ADDED = 0, 1, 2, 3
 
 #: values(pieces, counts): how many numbers each piece has, and these numbers in one array.
 Values = Callable[[list, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -49,7 +49,6 @@ Values = Callable[[list, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 def trim() -> None:
     """Give memory that is no longer used back to the system: a worker lives on for other tasks."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not the GNU library
         ctypes.CDLL(None).malloc_trim(0)
@@ -200,6 +199,9 @@ class Block:
     def told(self):
         """What goes into the block's row of kind TOLD; None for no such row."""
 
+    def added(self):
+        """What goes into the block's row of kind ADDED; None for no such row."""
+
     def docs(self) -> tuple:
         row = (DOCS, -1, pack(self.packed()))
         self.clear()
@@ -221,6 +223,8 @@ class Block:
                 yield PIECES, b, pack((planes(np.diff(k, prepend=0)), pieces[ends[b] : ends[b + 1]], counts[k], spread(numbers[own]), n[own].astype(np.uint32)))
         if (told := self.told()) is not None:
             yield TOLD, -1, pack(told)
+        if (added := self.added()) is not None:
+            yield ADDED, -1, pack(added)
 
 
 class Cut(Block):
@@ -312,7 +316,7 @@ def totals(numbers: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarr
     edges = [np.searchsorted(x, np.array([low + (high - low) * k // steps for k in range(steps + 1)], np.uint64)) for x in numbers]
     for k in range(steps):
         own = [slice(e[k], e[k + 1]) for e in edges]
-        order = np.argsort(keys := np.concatenate([x[s] for x, s in zip(numbers, own)]), kind="stable")
+        order = np.argsort(keys := np.concatenate([x[s] for x, s in zip(numbers, own)]))
         keys = keys[order]
         group = np.cumsum(np.append(False, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
         at = np.empty(len(keys), np.int64)

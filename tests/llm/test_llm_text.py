@@ -235,6 +235,21 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(["w"] * int(n)) for n in rng.integers(1, 9, 900)] + ["same text here"] * 450
+    ids = [*range(900), *[7] * 450]
+    docs = table(spark, texts, ids, ["a" if i % 2 else "b" for i in range(900)] + ["a"] * 450)
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 1350 and len({r.taken for r in rows if r.doc_id == 7}) <= 2
+    goal, got = {}, Counter()
+    for r in rows:
+        goal[r.source_size] = r.target
+        got[r.source_size] += r.taken
+    assert all(abs(got[s] - t) <= 3 * 450 for s, t in goal.items())  # equal rows are taken alike
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs.repartition(5)).collect()))
+
+
 def added_phones(spark, rows):
     got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     return sum(r.spans.count("phone:") for r in got)
