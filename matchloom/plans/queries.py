@@ -333,7 +333,18 @@ _HIT = "SELECT s1_id, matches, candidate_id, rank, exact_found, char_tfidf_rank,
 _FOUND = {"exact": "exact_found > 0", "name_char_tfidf": "char_tfidf_rank > 0", "name_word_tfidf": "word_tfidf_rank > 0", "address_tfidf": "address_tfidf_rank > 0", "bm25": "bm25_rank > 0"}
 
 
-@query("SELECT CAST(t AS BIGINT) AS total_true_matches, h.n AS covered_matches, round(h.n / t, 6) AS recall_ceiling, round(h.n10 / t, 6) AS recall_at_10, round(h.n20 / t, 6) AS recall_at_20, round(h.n40 / t, 6) AS recall_at_40, round(r.n / t, 6) AS raw_recall_ceiling, round(h.n / r.n, 6) AS quota_retention_rate, round(a.whole / w, 6) AS pct_entities_all_recovered, round(a.some / w, 6) AS pct_entities_any_recovered, " + ", ".join(f"round(h.{c} / t, 6) AS channel_{c}, round(r.{c} / t, 6) AS raw_channel_{c}" for c in _FOUND) + " FROM (SELECT sum(len(matches)) AS t, count(*) FILTER (len(matches) > 0) AS w FROM truth), (SELECT count(*) AS n, count(*) FILTER (rank <= 10) AS n10, count(*) FILTER (rank <= 20) AS n20, count(*) FILTER (rank <= 40) AS n40, " + ", ".join(f"count(*) FILTER ({x}) AS {c}" for c, x in _FOUND.items()) + f" FROM ({_HIT.format('kept')})) h, (SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER ({x}) AS {c}" for c, x in _FOUND.items()) + f" FROM ({_HIT.format('(SELECT *, 0 AS rank FROM pairs2)')})) r, (SELECT count(*) FILTER (k = m) AS whole, count(*) AS some FROM (SELECT s1_id, count(*) AS k, any_value(len(matches)) AS m FROM ({_HIT.format('kept')}) GROUP BY s1_id)) a")
+_RATES = ", ".join(f"round({x}, 6) AS {n}" for n, x in (
+    ("recall_ceiling", "h.n / t"), ("recall_at_10", "h.n10 / t"), ("recall_at_20", "h.n20 / t"), ("recall_at_40", "h.n40 / t"), ("raw_recall_ceiling", "r.n / t"), ("quota_retention_rate", "h.n / r.n"),
+    ("pct_entities_all_recovered", "a.whole / w"), ("pct_entities_any_recovered", "a.some / w"), *((f"{p}channel_{c}", f"{t}.{c} / t") for c in _FOUND for p, t in (("", "h"), ("raw_", "r"))),
+))
+_BY_CHANNEL = ", ".join(f"count(*) FILTER ({x}) AS {c}" for c, x in _FOUND.items())
+_OF_ALL = "SELECT sum(len(matches)) AS t, count(*) FILTER (len(matches) > 0) AS w FROM truth"
+_KEPT = f"SELECT count(*) AS n, count(*) FILTER (rank <= 10) AS n10, count(*) FILTER (rank <= 20) AS n20, count(*) FILTER (rank <= 40) AS n40, {_BY_CHANNEL} FROM ({_HIT.format('kept')})"
+_RAW = f"SELECT count(*) AS n, {_BY_CHANNEL} FROM ({_HIT.format('(SELECT *, 0 AS rank FROM pairs2)')})"
+_WHOLE = f"SELECT count(*) FILTER (k = m) AS whole, count(*) AS some FROM (SELECT s1_id, count(*) AS k, any_value(len(matches)) AS m FROM ({_HIT.format('kept')}) GROUP BY s1_id)"
+
+
+@query(f"SELECT CAST(t AS BIGINT) AS total_true_matches, h.n AS covered_matches, {_RATES} FROM ({_OF_ALL}), ({_KEPT}) h, ({_RAW}) r, ({_WHOLE}) a")
 def er_recall_gate(spark, sf_dir):
     q, c = both(spark, sf_dir)
     pairs, raw = fusion.generate(q, c)
