@@ -47,24 +47,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and a lost
-    executor costs a reread. The files go when the interpreter ends."""
+    executor costs a reread. The files go when the interpreter ends. packed: its values are compressed already."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/matchloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", "uncompressed") if packed else df.write).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def materialize_by(df: DataFrame, name: str, parts: int, by: str, kind: str) -> DataFrame:
     """As materialize(), as a table of `parts` buckets by one column in a folder for each value of
-    another: a later grouping by that column needs no shuffle of these rows. Buckets need a table; it leaves
+    another: a later grouping by that column needs no shuffle of these rows, whose values are compressed already. Buckets need a table; it leaves
     the catalog with its files, when the interpreter ends."""
     spark = df.sparkSession
     key = f"matchloom_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{key}"
-    df.write.format("parquet").partitionBy(kind).bucketBy(parts, by).option("path", path).saveAsTable(key)
+    df.write.format("parquet").option("compression", "uncompressed").partitionBy(kind).bucketBy(parts, by).option("path", path).saveAsTable(key)
     _written.append((spark, path))
     _tables.append((spark, key))
     return spark.table(key)
