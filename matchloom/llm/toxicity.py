@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out
+from .common import held_out, materialize
 
 #: Labelled documents, and documents whatever their label, that the fit reads at most (a hash of doc_id picks them; in
 #: expectation); voters from labelled rows that it keeps for either label.
@@ -183,7 +183,7 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = ROUNDS) -> n
     return p
 
 
-def linear(x: np.ndarray, p: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
+def linear(x: np.ndarray, p: np.ndarray, ridge: float = 0.02, rounds: int = 25) -> np.ndarray:
     """Logistic regression on posterior labels, by Newton steps; the last weight is the bias."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     w, r = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -224,9 +224,18 @@ def chosen(marks: list[tuple[str, int, int]], keep: int) -> list[str]:
     return list(kept)
 
 
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """(text, y) of rows (doc_id, text, y), one for all copies and most near copies: texts whose four least hashes of words agree
+    are taken for one, with the label that most have. Else the words of a text with many copies would be voters."""
+    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"))
+    sign = F.slice(F.array_sort(F.transform(words, lambda w: F.xxhash64(w))), 1, 4)
+    own = rows.groupBy(sign.alias("_s")).agg(F.min(F.struct("doc_id", "text")).alias("r"), F.round(F.avg("y")).cast("int").alias("y"))
+    return own.select("r.text", "y")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int = VOTERS) -> Model:
     """A classifier of docs (doc_id, text) by labels (doc_id, toxic). About `sample` labelled
-    documents are read and OTHERS of any sort, and the driver gets their votes and at most 4 * keep marks for either label.
+    documents are read and OTHERS of any sort, and the driver gets their votes and at most 20 * keep marks for either label.
     Several labels of a document count as toxic if one does."""
     own = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     n = own.count()
@@ -234,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int = VO
         return Model()
     if n > sample:
         own = own.where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", "y")  # own: as many rows as the sample
+    rows = materialize(one_of_each(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")), "op5-rows")  # own: as many rows as the sample
     base = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     n0, n1 = base.get(0, 0), base.get(1, 0)
     seen = rows.mapInArrow(_seen, "mark string, clean long, toxic long").groupBy("mark").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -243,11 +252,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int = VO
     tied = 2 * (t * F.log((t + 1e-9) / ((t + c) * share)) + c * F.log((c + 1e-9) / ((t + c) * (1 - share))))
     seen = seen.where(t + c >= LEAST).withColumn("g", tied).where(F.col("g") >= TIED)
     for_toxic, for_clean = t > (t + c) * min(0.9, 2 * share), c > (t + c) * (1 - share / 3)
-    best = lambda on, n: seen.where(on).orderBy(F.desc("g"), F.length("mark"), "mark").limit(4 * n).collect()
+    best = lambda on, n: seen.where(on).orderBy(F.desc("g"), F.length("mark"), "mark").limit(20 * n).collect()
     marks = chosen([(r.mark, r.toxic, r.clean) for r in best(for_toxic, keep)], keep) + chosen([(r.mark, r.clean, r.toxic) for r in best(for_clean, CLEAN)], CLEAN)
     voters = {m: i for i, m in enumerate(dict.fromkeys([*marks, *LEXICON]))}
     any_of = docs.select("doc_id", "text").where(F.pmod(F.xxhash64(F.lit("any"), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, OTHERS / max(1, docs.count()))) + 1)
-    got = rows.unionByName(any_of.select("text", F.lit(-1).alias("y"))).mapInArrow(_votes(voters), "y int, k array<int>, n array<int>, words int").collect()
+    got = rows.unionByName(one_of_each(any_of.select("doc_id", "text", F.lit(-1).alias("y")))).mapInArrow(_votes(voters), "y int, k array<int>, n array<int>, words int").collect()
     if not got:
         return Model()
     x = _matrix([(r.k, r.n, r.words) for r in got], len(voters) + len(PATTERNS))
