@@ -26,12 +26,15 @@ from .common import held_out, materialize
 SAMPLE, OTHERS, VOTERS, CLEAN = 12_000, 6_000, 250, 30
 #: Word beginnings by length; a voter needs this many documents and this association (G squared).
 SHORT, LONG, LEAST, TIED = 3, 8, 4, 14.0
+#: Marks that a task holds while it counts them.
+HELD = 150_000
 #: Hits from which a voter of the label model fires: each mark has one for each number.
 LEVELS = (1, 2, 4)
 #: Rounds of the label model, and dependence (mutual information given the label, in nats) from which a voter has a parent.
 ROUNDS, DEPENDS = 20, 0.002
-#: How far a given label is trusted at most.
-TRUST = 0.97
+#: How far a given label is trusted at most, and how much it counts that a voter does not fire (1: as the model has it): a
+#: lexicon of another language can't.
+TRUST, ABSENT = 0.97, 0.7
 THRESHOLD = 0.7
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -63,13 +66,21 @@ def _marks(word: str) -> list[str]:
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mark, clean, toxic) documents that have it; sums of parts, so that a task holds HELD marks and a document's."""
     counts: dict[str, list[int]] = {}
+
+    def told() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["mark", "clean", "toxic"])
+
     for b in batches:
         for t, y in zip(b.column(0), b.column(1).to_pylist()):
             for m in {m for w in set(WORDS.findall((t.as_py() or "").lower())) for m in _marks(w)}:
                 counts.setdefault(m, [0, 0])[y] += 1
+            if len(counts) >= HELD:
+                yield told()
+                counts.clear()
     # a mark of clean documents only can't become a voter here, but may be one elsewhere: all go
-    yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["mark", "clean", "toxic"])
+    yield told()
 
 
 def _hits(word: str, voters: dict[str, int]) -> tuple[int, ...]:
@@ -150,14 +161,14 @@ class LabelModel:
                 self.fires[y, a] = ((on * v).sum(0) + 2 * plain[y]) / (on.sum(0) + 2)
         self.fires = np.clip(self.fires, 1e-5, 1 - 1e-5)
 
-    def posterior(self, v: np.ndarray, more: np.ndarray | float = 0.0) -> np.ndarray:
-        """Of label 1, of the votes and further log odds."""
+    def posterior(self, v: np.ndarray, more: np.ndarray | float = 0.0, absent: float = 1.0) -> np.ndarray:
+        """Of label 1, of the votes and further log odds; absent: the weight of votes that aren't there."""
         up = np.where(self.parent >= 0, v[:, self.parent], 0).astype(int)
         cols = np.arange(v.shape[1])
         z = np.log(self.prior / (1 - self.prior)) + more + np.zeros(len(v))
         for y, sign in ((0, -1.0), (1, 1.0)):
             q = self.fires[y][up, cols]
-            z += sign * np.log(np.where(v > 0, q, 1 - q)).sum(1)
+            z += sign * np.where(v > 0, np.log(q), absent * np.log(1 - q)).sum(1)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -172,14 +183,14 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = ROUNDS) -> n
     if not known.any() or not v.shape[1]:
         return np.zeros(len(v))
     m.learn(v[known], given[known].astype(float))
-    p = m.posterior(v)
+    p = m.posterior(v, absent=ABSENT)
     for i in range(rounds):
         if i % 5 == 0:
             m.correlate(v, p)
         m.learn(v, p)
         on = np.clip([(w[known] @ given[known] + 0.5) / (w[known].sum() + 1) for w in (1 - p, p)], 1 - TRUST, TRUST)
         told = np.where(given == 1, np.log(on[1] / on[0]), np.log((1 - on[1]) / (1 - on[0])))
-        p = m.posterior(v, np.where(known, told, 0.0))
+        p = m.posterior(v, np.where(known, told, 0.0), ABSENT)
     return p
 
 
@@ -250,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int = VO
     t, c = F.col("toxic"), F.col("clean")
     share = min((n1 + 0.5) / max(1, n0 + n1), 0.999)
     tied = 2 * (t * F.log((t + 1e-9) / ((t + c) * share)) + c * F.log((c + 1e-9) / ((t + c) * (1 - share))))
-    seen = seen.where(t + c >= LEAST).withColumn("g", tied).where(F.col("g") >= TIED)
+    seen = materialize(seen.where(t + c >= LEAST).withColumn("g", tied).where(F.col("g") >= TIED), "op5-marks")
     for_toxic, for_clean = t > (t + c) * min(0.9, 2 * share), c > (t + c) * (1 - share / 3)
     best = lambda on, n: seen.where(on).orderBy(F.desc("g"), F.length("mark"), "mark").limit(20 * n).collect()
     marks = chosen([(r.mark, r.toxic, r.clean) for r in best(for_toxic, keep)], keep) + chosen([(r.mark, r.clean, r.toxic) for r in best(for_clean, CLEAN)], CLEAN)
