@@ -172,25 +172,25 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = ROUNDS, absent: float = 1.0) -> np.ndarray:
     """Posterior of label 1 of each document. votes: 1 where a voter fires (else it abstains); given: a noisy label, or -1
     for none. EM over the accuracies and the tree of correlations. In the first round the share of label 1, and
     how often a voter fires under either label, are those of the labelled rows; then a given label is a voter like the others,
-    where there is one."""
+    where there is one. absent: the weight of voters that don't fire."""
     v = votes.astype(np.float64)
     known = given >= 0
     m = LabelModel(v.shape[1])
     if not known.any() or not v.shape[1]:
         return np.zeros(len(v))
     m.learn(v[known], given[known].astype(float))
-    p = m.posterior(v, absent=ABSENT)
+    p = m.posterior(v, absent=absent)
     for i in range(rounds):
         if i % 5 == 0:
             m.correlate(v, p)
         m.learn(v, p)
         on = np.clip([(w[known] @ given[known] + 0.5) / (w[known].sum() + 1) for w in (1 - p, p)], 1 - TRUST, TRUST)
         told = np.where(given == 1, np.log(on[1] / on[0]), np.log((1 - on[1]) / (1 - on[0])))
-        p = m.posterior(v, np.where(known, told, 0.0), ABSENT)
+        p = m.posterior(v, np.where(known, told, 0.0), absent)
     return p
 
 
@@ -271,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: int = VO
     if not got:
         return Model()
     x = _matrix([(r.k, r.n, r.words) for r in got], len(voters) + len(PATTERNS))
-    p = label_model(fired(x[:, :-1]), np.array([r.y for r in got]))
+    p = label_model(fired(x[:, :-1]), np.array([r.y for r in got]), absent=ABSENT)
     w = linear(x, p)
     return Model(voters, w[:-1], float(w[-1]))
 
