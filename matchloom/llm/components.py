@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, spread
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     least of them. The least is a partial aggregate joined back, so a hub isn't one task's."""
     n = _both(e) if large else e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = n.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    j = n.join(least, "u")
+    j = n.join(spread(least), "u")
     out = j.where(F.col("v") > F.col("u")).select("v", "m") if large else j.select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
     return out.where(F.col("v") != F.col("m")).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 

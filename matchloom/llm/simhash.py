@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import materialize
+from .common import materialize, spread
 from .components import components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
@@ -65,13 +65,13 @@ def links(fps: DataFrame) -> DataFrame:
         placed = _celled(members, width)
         if width == 1:
             least = placed.groupBy("cell").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
-            found.append(placed.join(least, "cell").where("a < fp").select("a", F.col("fp").alias("b")))
+            found.append(placed.join(spread(least), "cell").where("a < fp").select("a", F.col("fp").alias("b")))
             break
         shared = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-        near = materialize(placed.join(shared, "cell"), f"op4-cells{width}")
+        near = materialize(placed.join(spread(shared), "cell"), f"op4-cells{width}")
         few = near.where(F.col("n") <= CROWD)
         a, b = few.select("cell", F.col("fp").alias("a")), few.select("cell", F.col("fp").alias("b"))
-        found.append(a.join(b, (a["cell"] == b["cell"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)).select("a", "b"))
+        found.append(a.join(spread(b), (a["cell"] == b["cell"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)).select("a", "b"))
         members = near.where(F.col("n") > CROWD).select("fp").distinct()
     return reduce(DataFrame.unionByName, found).distinct()
 
@@ -86,10 +86,10 @@ def classes(own: DataFrame) -> DataFrame:
     same for all fingerprints of a component, component_id the smallest doc_id of its rows."""
     fps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "op4-distinct")
     roots = materialize(components(links(fps)), "op4-roots")
-    named = roots.join(fps, roots["node"] == fps["fp"]).select("node", "root", "least")
+    named = roots.join(spread(fps), roots["node"] == fps["fp"]).select("node", "root", "least")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = named.join(ids, "root").select(F.col("node").alias("fp"), "root", "component_id")
-    to = fps.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    moved = named.join(spread(ids), "root").select(F.col("node").alias("fp"), "root", "component_id")
+    to = fps.join(spread(moved), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     return materialize(to, "op4-classes")  # read plainly by the joins, so that Spark can split a hot fingerprint
 
 
@@ -101,7 +101,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     as long as a binary value can be. Only distinct fingerprints are compared, so copies, however many,
     cost nothing beyond their own fingerprint."""
     own = materialize(fingerprints(docs), "op4-fp")
-    return own.join(classes(own), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(spread(classes(own)), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

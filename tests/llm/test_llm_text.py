@@ -267,3 +267,18 @@ def test_kinds_are_fitted_whatever_crowds_the_proposals(spark, monkeypatch):
 def test_thresholds_from_a_histogram():
     t = pii.Trees().calibrate([(3, 128, 1, 90), (3, 64, 1, 10), (3, 64, 0, 2), (3, 32, 0, 50), (1, 640, 0, 5)])
     assert t.floor[3] == 1.0 and t.floor[1] == t.floor[0] == float("inf")
+
+
+def test_simhash_sides_stay_off_the_driver(spark):
+    """Spark takes a few MB of fingerprints for the size of the cells they are exploded to, and would broadcast those."""
+    fps = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        links = simhash.links(fps)
+        star = components._star(spark.range(9).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), True)
+        for df in (links, star):
+            df.collect()
+            assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
