@@ -117,7 +117,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = held.mapInArrow(_carried, T.StructType([held.schema["_row"], T.StructField("fp", T.LongType())]))
     rows = materialize(rows.withColumn("doc_id", F.col("_row.doc_id").cast("long")), "op4-rows")
     own = rows.select("doc_id", "fp")
-    first = own.join(classes(own), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("m")).select(F.col("m.doc_id").alias("id"), F.col("m.fp").alias("own"))
-    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("own")), "left_semi")
+    first = own.join(spread(classes(own)), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("m")).select(F.col("m.doc_id").alias("id"), F.col("m.fp").alias("own"))
+    kept = rows.join(spread(first), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("own")), "left_semi")
     once = Window.partitionBy("doc_id", "fp").orderBy(F.xxhash64("_row"))
     return kept.withColumn("n", F.row_number().over(once)).where("n = 1").select("_row.*")
