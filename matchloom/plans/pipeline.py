@@ -44,7 +44,7 @@ def _pairs(config: dict, one: DataFrame, rest: DataFrame, vectors: DataFrame | N
     if vectors is not None:
         of = lambda records, key, f: records.select(F.col("entity_id").alias(key)).join(vectors.select(F.col("entity_id").alias(key), F.col(f"{f}_vec").alias("v")), key)
         found |= {f"{f}_ann": dense(of(one, "s1_id", f), of(rest, "candidate_id", f), fusion.LIMITS[f"{f}_ann"]) for f in D.FIELDS}
-    return fusion.generate(one, rest, r.get("filter_country_mismatch", True), found, with_dense=vectors is not None, **_options(config))
+    return fusion.generate(one, rest, r.get("filter_country_mismatch", True), found, raw=True, with_dense=vectors is not None, **_options(config))
 
 
 def _reranked(config: dict, scored: DataFrame, one: DataFrame, rest: DataFrame, scorer: Scorer | None) -> DataFrame:

@@ -1,12 +1,13 @@
 """Scenarios of retrieval, fusion, evaluation, training, models, validation and outputs."""
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from matchloom.functions import similarity as S
-from matchloom.operators import evaluation as E, features as P, fusion, models as M, retrieval as R, training as T, validation as V
+from matchloom.operators import evaluation as E, features as P, fusion, models as M, packs, retrieval as R, training as T, validation as V
 from matchloom.plans import pipeline
 from matchloom.sources import files
 from matchloom.streaming import batches
@@ -405,3 +406,32 @@ def test_texts_of_missing_files_are_skipped(spark, tmp_path):
     _tsv(tmp_path / "a.tsv", [("S2-1", "n", "a", "us")])
     got = files.scan_texts(spark, [str(tmp_path / "a.tsv"), str(tmp_path / "none.tsv")])
     assert [tuple(r) for r in got.collect()] == [("S2-1", "n", "a")] and files.scan_texts(spark, [str(tmp_path / "none.tsv")]).count() == 0
+
+
+def test_packs_find_the_best_of_all_shards(spark, monkeypatch):
+    """Against brute force, over several shards and blocks, texts that many records share and ties between them; no posting is shuffled."""
+    monkeypatch.setattr(packs, "SHARD", 7)
+    monkeypatch.setattr(packs, "BLOCK", 5)
+    name = lambda i: f"acme{i % 5} works{i % 7} group{i % 11} x{i % 3} x{i % 3}"
+    part = lambda i: "us" if i % 4 else "india"
+    c = recs(spark, *((f"S2-{i}", name(i), f"{i % 6} oak", part(i)) for i in range(150)))
+    q = recs(spark, *((f"S1-{i}", name(i + i % 2), f"{i % 6} elm", part(i)) for i in range(40)))
+    fitted = R.tfidf_fit(c, "name", R.word_terms, 0.9)
+    of = lambda df: {(r.part, r.term): r.idf for r in df.collect()}
+    idf, names = of(fitted.idf), {r.entity_id: (r.part, r.name) for r in c.select("entity_id", "part", "name").unionByName(q.select("entity_id", "part", "name")).collect()}
+
+    def vector(i):
+        p, t = names[i]
+        w = t.split()
+        n = Counter(x for x in [*w, *map(" ".join, zip(w, w[1:]))] if len(x) > 1 and (p, x) in idf)
+        v = {x: (1 + math.log(k)) * idf[p, x] for x, k in n.items()}
+        return {x: y / math.hypot(*v.values()) for x, y in v.items()}
+
+    vectors, want = {i: vector(i) for i in names}, {}
+    for a in (i for i in names if i.startswith("S1")):
+        each = [(sum(y * vectors[b].get(x, 0) for x, y in vectors[a].items()), b) for b in names if b.startswith("S2") and names[b][0] == names[a][0]]
+        for k, (score, b) in enumerate(sorted((x for x in each if x[0] > 0.05), key=lambda x: (-round(x[0], 9), x[1]))[:6]):
+            want[a, k + 1] = (b, round(score, 6))
+    got = R.tfidf(q, fitted, "name", 6, R.word_terms, None)
+    assert {(r.s1_id, r["rank"]): (r.candidate_id, round(r.score, 6)) for r in got.collect()} == want
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
