@@ -1,6 +1,7 @@
 """Scenarios of retrieval, fusion, evaluation, training, models, validation and outputs."""
 
 import math
+import time
 from collections import Counter
 
 import pytest
@@ -435,3 +436,29 @@ def test_packs_find_the_best_of_all_shards(spark, monkeypatch):
     got = R.tfidf(q, fitted, "name", 6, R.word_terms, None)
     assert {(r.s1_id, r["rank"]): (r.candidate_id, round(r.score, 6)) for r in got.collect()} == want
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_one_batch_of_queries_at_a_time(spark, monkeypatch):
+    """The kept pairs, and the flags of all, are those of one batch, however many there are."""
+    row = lambda s, i: (f"{s}-{i}", f"acme{i % 5} works{i % 7} x{i % 3}", f"{i % 6} oak road, {10000 + i % 9}", "us" if i % 4 else "")
+    q, c = recs(spark, *(row("S1", i) for i in range(60))), recs(spark, *(row(f"S{2 + i % 2}", i) for i in range(90)))
+    pairs = lambda df: sorted(tuple(r) for r in df.select("s1_id", "candidate_id", "rank", F.round("rrf_score", 9)).collect())
+    flags = lambda df: sorted(tuple(r) for r in df.select("s1_id", "candidate_id", "found_by_exact", "found_by_bm25", "found_by_char_tfidf").collect())
+    whole, found = fusion.generate(q, c, found=fusion.channels(q, c), raw=True)
+    whole, found, hits = pairs(whole), flags(found), sorted(map(tuple, fusion.country_hits(q, c).collect()))
+    monkeypatch.setattr(fusion, "BATCH", 30)
+    got, every = fusion.generate(q, c, raw=True)
+    assert pairs(got) == whole and flags(every) == found and pairs(fusion.generate(q, c)[0]) == whole
+    assert sorted(map(tuple, fusion.country_hits(q, c).collect())) == hits and sum(h[1] for h in hits) > 0
+
+
+def test_shuffles_of_a_batch_of_queries_are_dropped(spark, tmp_path):
+    q = recs(spark, *((f"S1-{i}", f"acme{i % 5}", f"{i % 6} oak road", "us") for i in range(60)))
+    shuffles = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    held = []
+    for some in fusion.batches(q, 30):
+        held.append(shuffles())
+        some.groupBy("name").count().select("count").distinct().write.parquet(str(tmp_path / str(len(held))))
+        del some
+    time.sleep(1)  # Spark drops them in a thread of its own
+    assert len(held) == 2 and shuffles() <= held[0]
