@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import held_out, materialize
+from .wordblocks import trim
 
 #: Bounds of the fit: labelled documents it reads (each language has an equal quota, which a hash of doc_id fills),
 #: and n-grams it keeps of each language.
@@ -77,6 +78,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 g[x] += n
             g[f"#{script(w)}"] += n * len(w)  # no word holds a #
         yield pa.record_batch([pa.array([lang] * len(g), pa.string()), pa.array(list(g), pa.string()), pa.array(list(g.values()), pa.int64())], ["lang", "gram", "n"])
+    del words
+    trim()
 
 
 def cuts(hist: list[tuple[str, int, int]], keep: int) -> dict[str, int]:
@@ -237,6 +240,8 @@ def _labels(m: Model, switch: float, carried: bool):
             kept.append(own.slice(since))
         if lens:
             yield close()
+        cache, table, sizes, kept, lens, rows, fresh = {}, table[:0].copy(), sizes[:0].copy(), [], [], [], []
+        trim()
 
     return run
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import materialize, spread
 from .components import components
+from .wordblocks import trim
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 #: Bits of a segment, of the grid and of those that refine its crowded cells: a cell is a count of ones by segment.
@@ -36,6 +37,7 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.record_batch([b.column(0), pa.array([fingerprint(x.as_py() or b"") for x in b.column(1)], pa.int64())], ["doc_id", "fp"])
+    trim()
 
 
 def _celled(fps: DataFrame, width: int) -> DataFrame:

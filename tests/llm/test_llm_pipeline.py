@@ -2,6 +2,9 @@
 
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from matchloom.llm import queries
 from matchloom.llm.common import materialize
@@ -37,3 +40,18 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, ""), "test")
     assert docs.count() == 0
+
+
+def test_workers_give_their_memory_back(monkeypatch):
+    """A worker that has done a task of the first two stages lives on through the others, without that task's memory."""
+    from matchloom.llm import langid, simhash
+
+    told = []
+    monkeypatch.setattr(simhash, "trim", lambda: told.append("fingerprints"))
+    monkeypatch.setattr(langid, "trim", lambda: told.append("languages"))
+    model = langid.Model(["en"], {}, np.zeros((1, 1), np.float32), {})
+    texts = lambda *names: iter([pa.record_batch([pa.array([1]), pa.array(["some words"])], list(names))])
+    assert len(list(langid._labels(model, 1.0, False)(texts("kept", "text")))) == 1
+    assert len(list(langid._counts(iter([pa.record_batch([pa.array(["some words"]), pa.array(["en"])], ["text", "lang"])])))) == 1
+    assert len(list(simhash._fingerprints(iter([pa.record_batch([pa.array([1]), pa.array([b"some words"])], ["doc_id", "text"])])))) == 1
+    assert told == ["languages", "languages", "fingerprints"]
