@@ -4,6 +4,8 @@ import math
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -462,3 +464,30 @@ def test_shuffles_of_a_batch_of_queries_are_dropped(spark, tmp_path):
         del some
     time.sleep(1)  # Spark drops them in a thread of its own
     assert len(held) == 2 and shuffles() <= held[0]
+
+
+def test_shuffles_of_a_channel_are_dropped_before_the_next(spark):
+    q = recs(spark, *((f"S1-{i}", f"acme{i % 5}", f"{i % 6} oak road", "us") for i in range(60)))
+    held = []
+
+    def channel(some):
+        time.sleep(1)
+        held.append(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size())
+        return some.groupBy(F.col("entity_id").alias("s1_id")).agg(F.max("name").alias("candidate_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+
+    for _, drop in fusion.parts(q, 30):
+        fusion._met({c: channel for c in ("exact", "bm25", "char_tfidf")}, q, drop)
+        break
+    assert len(held) == 3 and max(held) <= held[0]
+
+
+def test_texts_are_shuffled_and_not_their_terms(spark):
+    c = recs(spark, *((f"S2-{i}", f"acme{i % 5} works{i % 7}", f"{i % 6} oak road", "us") for i in range(60)))
+    own = packs.texts(c, F.col("name"))
+    idf = spark.createDataFrame([("us", "acme1", 1.0)], "part string, term string, idf double")
+    plan = packs._packed(own, packs._sizes(own, 20), 5, idf, R._in_all(R.char_terms), packs._shard(False))._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.find("AS terms") < plan.find("RepartitionByExpression")
+    rows = np.array([0, 3, 70, 2, 2, 9, 60_000, 1])
+    assert (packs._unsteps(*packs._steps(rows)) == rows).all() and len(packs._unsteps(*packs._steps(rows[:0]))) == 0
+    posting = np.arange(50_000)
+    assert len(packs._payload(packs._steps(posting))) < 5_000 and (packs._unsteps(*packs._data(pa.py_buffer(packs._payload(packs._steps(posting))))) == posting).all()
