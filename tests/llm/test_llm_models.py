@@ -268,6 +268,40 @@ def test_training_lowers_the_loss():
     assert np.mean(told[-5:]) > np.mean(told[:5]) + 1
 
 
+def test_slopes_of_cells_are_the_gradients():
+    net, rng = small_net(), np.random.default_rng(2)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    lens = np.array([0, 1, 31, 32, 100])
+    seqs = net.v.local[rng.integers(0, 22, lens.sum())]
+    mean, want = net.gradients(*lm.windows(seqs, lens, net.v))
+    x, y, void = lm.cells(seqs, lens, net.v)
+    got, g = net.slopes(x, y[lm.SCORED :], void[:-1])
+    assert got == pytest.approx(mean) and set(g) == set(want)
+    for k in want:
+        assert g[k] == pytest.approx(want[k], abs=1e-5), k
+
+
+def test_the_network_learns_from_all_training_documents(spark, monkeypatch):
+    """Words that are new but made in one way: no sample, no pair of words and no count of them tells of it."""
+    rng = np.random.default_rng(17)
+    def word():
+        steps = np.cumsum([rng.integers(0, 40), *rng.choice([1, 7], 9)])
+        return "".join("bcdfghjk"[i % 8] + "aeiou"[i % 5] for i in steps)
+
+    rows = [(i, " ".join(word() for _ in range(60))) for i in range(200)]
+    seen = []
+    own = lm._finish
+    monkeypatch.setattr(lm, "CHUNKS", 8)
+    monkeypatch.setattr(lm, "_finish", lambda net, *a: seen.append(net) or own(net, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda got: [r.score / r.n_subwords for r in got if r.held_out]
+    whole = held(lm.scores(docs, sample=0, steps=1).collect())
+    monkeypatch.setattr(lm, "learn", lambda *a: None)
+    without = held(lm.scores(docs, sample=0, steps=1).collect())
+    assert len(whole) == len(without) > 5 and np.mean(whole) > np.mean(without) + 0.01
+    assert any((seen[0].p[k] != seen[1].p[k]).any() for k in ("Q", "K", "V"))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(11)
     x = rng.standard_normal((10, 24))[rng.integers(0, 10, 1200)] + rng.standard_normal((1200, 24)) * 0.7
